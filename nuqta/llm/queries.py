@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bwt_dedup, hash_tree, kneser_ney, language_id, near_dup, packing, sentence_spans
+from . import bpe, bwt_dedup, hash_tree, iso_media, kneser_ney, language_id, near_dup, packing, rp_forest, sentence_spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codec = bpe.fit(docs)
+    return bpe.decode(bpe.encode(docs, codec), codec)
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has media: each document's whole text is put in a container, whose tracks
+    are then read."""
+    return iso_media.tracks(iso_media.media_of(table(spark, sf_dir, "documents")))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +57,10 @@ def op9_repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_spans.repeated_sentences(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
