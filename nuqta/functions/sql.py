@@ -19,4 +19,4 @@ def register(spark: SparkSession) -> None:
         f"'[\\\\r\\\\n]+', ' '), '[^{letters}{ws}-]+', ''), '[{ws}]{{2,}}', ' '), '^[{ws}]+|[{ws}]+$', '')"
     )
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION contains_all_tokens(v STRING, q STRING) RETURNS BOOLEAN RETURN normalize_arabic(q) <> '' AND forall(split(normalize_arabic(q), '[{ws}]+'), t -> contains(normalize_arabic(v), t))")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tokenize_query(q STRING) RETURNS TABLE (position INT, token STRING) RETURN SELECT pos, col FROM (SELECT posexplode(split(normalize_arabic(q), '[{ws}]+'))) WHERE col <> ''")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION tokenize_query(q STRING) RETURNS TABLE (position INT, token STRING) RETURN SELECT t.pos, t.w FROM (SELECT split(normalize_arabic(q), '[{ws}]+') AS a) LATERAL VIEW posexplode(a) t AS pos, w WHERE t.w <> ''")

@@ -49,7 +49,12 @@ def clean_morphology(rows: DataFrame) -> DataFrame:
 def load_morphology(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of gid, lemmas and roots; null items and items whose gid isn't a number
     are dropped, and the last of equal gids stays."""
-    return clean_morphology(spark.read.schema(MORPHOLOGY).option("multiLine", True).json(_existing(spark, path, "morphology")))
+    whole = spark.read.text(_existing(spark, path, "morphology"), wholetext=True)
+    whole.createOrReplaceTempView("_nuqta_morphology_source")
+    items = spark.sql("select pos as _pos, value as v from (select parse_json(value) as j from _nuqta_morphology_source), lateral variant_explode(j)")
+    items = items.where(F.expr("schema_of_variant(try_variant_get(v, '$.gid', 'variant')) rlike '^(BIGINT|DOUBLE|DECIMAL)'"))
+    get = lambda c, t: F.expr(f"try_variant_get(v, '$.{c}', '{t}')").alias(c)
+    return clean_morphology(items.select("_pos", get("gid", "bigint"), get("lemmas", "array<string>"), get("roots", "array<string>")))
 
 
 def load_word_map(spark: SparkSession, path: str) -> DataFrame:
