@@ -25,10 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .textvec import _INV, _INV2, BASE, BASE2, U64, buffers, chunks, mix, powers, take_ranges
+from .textvec import _INV, _INV2, BASE, BASE2, CHUNK, U64, buffers, chunks, mix, powers, take_ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-CHUNK = 4 << 20
 LETTER, DIGIT, SPACE, OTHER = range(4)
 NO_RANK = np.int32(2**31 - 1)
 #: Words up to this many bytes are merged in a matrix, longer ones with a heap.

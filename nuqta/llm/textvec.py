@@ -33,7 +33,7 @@ def powers(n: int, base: int = BASE, inverse: int = _INV) -> tuple[np.ndarray, n
     """base**i and base**-i modulo 2**64 for i < n, kept for reuse."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length()) if n > 1 else 1 << 16
+        size = max(1 << 16, 1 << max(0, n - 1).bit_length())
         both = []
         for b in (base, inverse):
             p = np.empty(size, U64)
@@ -80,8 +80,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[lo:hi], off - lo
 
 
-def chunks(offsets: np.ndarray, target: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``target`` bytes, one row at least; every row is in one."""
+#: Bytes of a chunk: a little under a power of two, the size of the tables kept for it.
+CHUNK = (1 << 20) - 16
+
+
+def chunks(offsets: np.ndarray, target: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of ``target`` bytes at most, but one row at least; every row is in one."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + target, "right")) - 1
