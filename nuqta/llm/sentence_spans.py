@@ -4,7 +4,7 @@ its kind covers it. All of it is built-in expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A sentence with the marks that end it; the pieces of a text, joined, are the text.
@@ -19,37 +19,56 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.where(f"doc_id is not null and {text} is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(clean, lambda s: s != "").alias("s"))
 
 
-def repeated_sentences(docs: DataFrame, *, run: int = 3, min_chars: int = 60) -> DataFrame:
+#: Runs that are compared: this many sentences, if they have this many characters together.
+#: Long sentences repeat in pairs; a passage of short ones has no such pair but many sentences.
+RUNS = ((2, 60), (8, 0))
+
+
+def _runs(run: int, least: int) -> Column:
+    """array<struct<pos, run, a, b, size>>: the runs of ``run`` of the hashed sentences ``s``."""
+    add = lambda n, x: n + x["n"]
+
+    def span(i: Column) -> Column:
+        part = F.slice("s", i + 1, run)
+        size = F.aggregate(part, F.lit(run - 1), add)
+        return F.struct(i.alias("pos"), F.lit(run).alias("run"), F.xxhash64(F.lit(run), part["a"]).alias("a"), F.xxhash64(F.lit(run), part["b"]).alias("b"), size.alias("size"))
+
+    places = F.when(F.size("s") >= run, F.sequence(F.lit(0), F.size("s") - run)).otherwise(F.array().cast("array<int>"))
+    return F.filter(F.transform(places, span), lambda x: x["size"] >= least)
+
+
+def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
     """doc_id, sentence, source_id: the document's ``sentence``-th sentence (from 0) lies in
-    a run of ``run`` sentences that occurs before, first in document source_id (the least of
-    these, if several runs cover it).
-
-    A run counts if its sentences, joined by single spaces, have ``min_chars`` characters or
-    more, so that a few stock words do not match; the first run is the least by (doc_id,
-    place). Texts with fewer sentences, empty and null texts and rows with a null doc_id
-    have no run; rows that repeat a doc_id and its text are one document; runs may repeat
-    within a document; an empty table gives no row. Only doc_id and text are read."""
+    a run of sentences that occurs before, first in document source_id (the least of these,
+    if several runs cover it).
+
+    ``runs`` gives the lengths of runs and the characters that a run must have, single spaces
+    between sentences counted, so that a few stock words do not match. The first of equal runs
+    is the least by (doc_id, place). Texts with fewer sentences, empty and null texts and rows
+    with a null doc_id have no run; rows that repeat a doc_id and its text are one document;
+    runs may repeat within a document; an empty table gives no row. Only doc_id and text are
+    read."""
     s = sentences(docs)
-    joined = F.transform(F.sequence(F.lit(0), F.size("s") - run), lambda i: F.concat_ws(" ", F.slice("s", i + 1, run)))
-    hashed = F.transform(joined, lambda t, i: F.struct(i.alias("pos"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(1), t).alias("b"), F.length(t).alias("size")))
-    spans = s.where(F.size("s") >= run).select("doc_id", F.explode(F.filter(hashed, lambda x: x["size"] >= min_chars)).alias("x")).select("doc_id", "x.pos", "x.a", "x.b")
-    groups = spans.groupBy("a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.collect_list(F.struct("doc_id", "pos")).alias("all")).where(F.size("all") > 1)
-    later = groups.select("first", F.explode("all").alias("x")).where(F.col("x") != F.col("first")).select(F.col("x.doc_id").alias("doc_id"), F.col("x.pos").alias("pos"), F.col("first.doc_id").alias("source_id"))
-    covered = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + run - 1)).alias("sentence"), "source_id")
+    # two hashes of each sentence, and of a run those of its sentences' hashes: 128 bits
+    s = s.select("doc_id", F.transform("s", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("s"))
+    spans = s.select("doc_id", F.explode(F.concat(*[_runs(run, least) for run, least in runs])).alias("x")).select("doc_id", "x.pos", "x.run", "x.a", "x.b")
+    groups = spans.groupBy("run", "a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.collect_list(F.struct("doc_id", "pos")).alias("all")).where(F.size("all") > 1)
+    later = groups.select("run", "first", F.explode("all").alias("x")).where(F.col("x") != F.col("first")).select("run", F.col("x.doc_id").alias("doc_id"), F.col("x.pos").alias("pos"), F.col("first.doc_id").alias("source_id"))
+    covered = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("run") - 1)).alias("sentence"), "source_id")
     return covered.groupBy("doc_id", "sentence").agg(F.min("source_id").alias("source_id"))
 
 
-def repeated_sentences_sql(run: int = 3, min_chars: int = 60) -> str:
-    """The same in DuckDB's SQL."""
-    joined = " || ' ' || ".join(f"s[i + {k}]" for k in range(run))
+def repeated_sentences_sql(runs: tuple[tuple[int, int], ...] = RUNS) -> str:
+    """The same in DuckDB's SQL, which compares the runs' texts."""
+    joined = lambda run: " || ' ' || ".join(f"s[i + {k}]" for k in range(run))
+    tiers = " union all ".join(f"select doc_id, i - 1 as pos, {run} as run, {joined(run)} as t from (select doc_id, s, unnest(range(1, len(s) - {run} + 2)) as i from pieces where len(s) >= {run}) where length({joined(run)}) >= {least}" for run, least in runs)
     return rf"""
 with pieces as (
   select doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[^.!?\n]+[.!?\n]*|[.!?\n]+'),
       lambda p: trim(regexp_replace(p, '[ \t\r\n.!?]+', ' ', 'g'), ' ')), lambda p: p <> '') as s
   from documents where doc_id is not null and text is not null),
-places as (select doc_id, s, unnest(range(1, len(s) - {run} + 2)) as i from pieces where len(s) >= {run}),
-spans as (select doc_id, i - 1 as pos, {joined} as t from places where length({joined}) >= {min_chars}),
-firsts as (select t, min(struct_pack(d := doc_id, p := pos)) as f from spans group by t having count(*) > 1),
-later as (select doc_id, pos, f.d as source_id from spans join firsts using (t) where doc_id <> f.d or pos <> f.p)
-select doc_id, cast(pos + k as integer) as sentence, min(source_id) as source_id
-from later cross join (select unnest(range(0, {run})) as k) group by all"""
+spans as ({tiers}),
+firsts as (select run, t, min(struct_pack(d := doc_id, p := pos)) as f from spans group by run, t having count(*) > 1),
+later as (select doc_id, run, pos, f.d as source_id from spans join firsts using (run, t) where doc_id <> f.d or pos <> f.p)
+select doc_id, cast(sentence as integer) as sentence, min(source_id) as source_id
+from (select doc_id, unnest(range(pos, pos + run)) as sentence, source_id from later) group by all"""
