@@ -46,10 +46,10 @@ def positive_tokens(verses: DataFrame, mode: str, *, token: str = "token", targe
 
 
 def token_matches(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True) -> DataFrame:
-    """qid, gid, tpos, text, lemma, root: what each token of the query matches in each verse
-    of ``results`` (qid, gid, _pos)."""
+    """The rows of ``results`` (qid, gid, _pos, ...) once for each token of the query, with
+    tpos, text, lemma and root: what the token matches in the verse."""
     asked = tokens.join(corpus.entries.select("token", "norm_lemma", "norm_root"), "token", "left")
-    rows = results.select("qid", "gid", "_pos").join(asked, "qid").join(corpus.verse_arrays, ["gid", "_pos"], "left")
+    rows = results.join(asked, "qid").join(corpus.verse_arrays, ["gid", "_pos"], "left")
     none = F.expr(NO_STRINGS)
     text = F.coalesce(text_tokens(F.col("words"), F.col("token")), none)
     lemmas = F.coalesce(F.when(F.col("norm_lemma").isNotNull(), morphology_tokens(F.col("lemmas"), F.col("norm_lemma"))), none) if lemma else none
@@ -59,18 +59,19 @@ def token_matches(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemm
         roots = F.coalesce(F.when(F.col("norm_root").isNotNull(), found), none)
     else:
         roots = none
-    return rows.select("qid", "gid", "tpos", text.alias("text"), lemmas.alias("lemma"), roots.alias("root"))
+    return rows.select(*results.columns, "tpos", text.alias("text"), lemmas.alias("lemma"), roots.alias("root"))
 
 
-def fold_matches(matches: DataFrame) -> DataFrame:
+def fold_matches(matches: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """qid, gid, score, type, strings, exact and others from ``token_matches``, in token
-    order. The type is that of the first token with any match: exact if it matches text, else
+    order, and the columns ``carry``, which are the same for all tokens of a result. The type is that of the first token with any match: exact if it matches text, else
     lemma if any token does, else root."""
     any_of = lambda x: (F.size(x["text"]) > 0) | (F.size(x["lemma"]) > 0) | (F.size(x["root"]) > 0)
     g = matches.groupBy("qid", "gid").agg(
         F.sum(3 * F.size("text") + 2 * F.size("lemma") + F.size("root")).cast("double").alias("score"),
         F.max(F.size("lemma") > 0).alias("any_lemma"),
         F.array_sort(F.collect_list(F.struct("tpos", "text", "lemma", "root"))).alias("t"),
+        *[F.first(c).alias(c) for c in carry or []],
     )
     lead = F.element_at(F.filter("t", any_of), 1)
     kind = F.when(F.size(F.filter("t", any_of)) == 0, NONE).when(F.size(lead["text"]) > 0, EXACT).when(F.col("any_lemma"), LEMMA).otherwise(ROOT)
@@ -78,6 +79,7 @@ def fold_matches(matches: DataFrame) -> DataFrame:
     return g.select(
         "qid",
         "gid",
+        *(carry or []),
         "score",
         kind.alias("type"),
         F.array_distinct(F.flatten(F.transform("t", lambda x: F.concat(x["text"], x["lemma"], x["root"])))).alias("strings"),
@@ -95,8 +97,8 @@ def score_results(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemm
     """``results`` (qid, gid, _pos, fuzzyMatches, ...) with matchScore, matchType,
     matchedTokens and tokenTypes. Fuzzy matches count only where nothing else does: half a
     point a range, whose text becomes a matched token."""
-    folded = fold_matches(token_matches(results, tokens, corpus, lemma=lemma, root=root))
-    rows = results.join(folded, ["qid", "gid"]).join(corpus.verses.select("_pos", F.col("standard").alias("_standard"), F.col("uthmani").alias("_uthmani")), "_pos")
+    carry = [c for c in results.columns if c not in ("qid", "gid")]
+    rows = fold_matches(token_matches(results, tokens, corpus, lemma=lemma, root=root), carry).join(corpus.verses.select("_pos", F.col("standard").alias("_standard"), F.col("uthmani").alias("_uthmani")), "_pos")
     is_fuzzy = (F.col("type") == NONE) & (F.coalesce(F.size("fuzzyMatches"), F.lit(0)) > 0)
     source = lambda m: F.when(m["key"] == "standard", F.col("_standard")).otherwise(F.col("_uthmani"))
     cut = F.flatten(F.transform("fuzzyMatches", lambda m: F.transform(m["indices"], lambda r: F.substring(source(m), r["start"] + 1, r["end"] - r["start"] + 1))))
