@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, written
 from .textvec import _INV, _INV2, BASE, BASE2, CHUNK, U64, buffers, chunks, mix, powers, take_ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -391,10 +391,15 @@ def compile_lexicon(words: list[bytes], vocabulary: Vocabulary) -> bytes:
 
 
 def fit(docs: DataFrame, *, vocabulary: str = VOCABULARY, lexicon_words: int = 1 << 17) -> Codec:
-    """Compile the ``lexicon_words`` most frequent words of all texts; what is beyond these
-    is encoded all the same, by merging. The vocabulary is read on the driver."""
-    top = count_words(docs).where((F.col("n") > 1) & (F.octet_length("word") <= 255)).orderBy(F.desc("n"), "word").limit(lexicon_words)
-    words = top.select("word").toArrow().column("word").to_pylist()
+    """Compile the most frequent words of all texts: as many counts, from the top, as have
+    ``lexicon_words`` words together at most. What is beyond these is encoded all the same, by
+    merging. The vocabulary is read on the driver."""
+    counts = written(count_words(docs).where((F.col("n") > 1) & (F.octet_length("word") <= 255)), "words")
+    # words by count: no task sorts the words themselves
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words"))
+    above = by_count.select("n", F.sum("words").over(Window.orderBy(F.desc("n"))).alias("above")).where(F.col("above") <= lexicon_words)
+    least = above.agg(F.min("n")).first()[0]
+    words = counts.where(F.col("n") >= least).select("word").toArrow().column("word").to_pylist() if least else []
     return Codec(ship(docs.sparkSession, "lexicon.bin", compile_lexicon(words, Vocabulary.read(vocabulary))))
 
 
