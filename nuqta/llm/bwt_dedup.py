@@ -31,7 +31,7 @@ ROUNDS = 5
 RUN = 16
 LONGEST = 256
 #: Words in a merge, beyond which the next key begins another; words in a shard.
-MERGE_WORDS, SHARD_WORDS = 1 << 20, 1 << 18
+MERGE_WORDS, SHARD_WORDS = 1 << 19, 1 << 17
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
