@@ -178,7 +178,8 @@ def q_search_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_search_batch_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """With misspelt queries and fuzzy matching on; tests hold it against a plain version."""
+    """With misspelt queries and fuzzy matching on. No SQL: the ranges of fuzzy matches are our
+    own contract; its parts (distances, cutoff, fallback) have SQL or plain versions."""
     queries = asked(spark).unionByName(spark.createDataFrame([(100 + i, to_arabic(t)) for i, t in enumerate(MISSPELT)], QUERIES))
     return search_batch(queries, corpus_at(spark, d), page=1, limit=20).select("qid", "rank", "gid", "matchScore", "matchType", F.array_join("matchedTokens", "|").alias("matched"))
 
