@@ -4,6 +4,9 @@ its kind covers it. All of it is built-in expressions."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +23,28 @@ def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 #: Runs that are compared: this many sentences, if they have this many characters together.
-#: Long sentences repeat in pairs; a passage of short ones has no such pair but many sentences.
-RUNS = ((2, 60), (8, 0))
+#: A passage of short sentences may have few characters but has many sentences.
+RUNS = (*((run, 60) for run in range(2, 8)), (8, 0))
+
 
+def _runs(run: int, least: int, lower: int | None) -> Column:
+    """array<struct<pos, run, a, b>>: the runs of ``run`` of the hashed sentences ``s`` whose
+    lengths are ``n``. Where runs one shorter are compared from ``lower`` characters on, a run
+    whose first and last ``run`` - 1 sentences both have so many is left out: where it
+    repeats they do, first in the same document or an earlier one, and together they cover
+    it."""
+    size = lambda i, k: reduce(add, [F.get("n", i + j) for j in range(k)]) + (k - 1)
 
-def _runs(run: int, least: int) -> Column:
-    """array<struct<pos, run, a, b, size>>: the runs of ``run`` of the hashed sentences ``s``."""
-    add = lambda n, x: n + x["n"]
+    def needed(i: Column) -> Column:
+        own = size(i, run) >= least
+        return own if lower is None else own & ((size(i, run - 1) < lower) | (size(i + 1, run - 1) < lower))
 
     def span(i: Column) -> Column:
         part = F.slice("s", i + 1, run)
-        size = F.aggregate(part, F.lit(run - 1), add)
-        return F.struct(i.alias("pos"), F.lit(run).alias("run"), F.xxhash64(F.lit(run), part["a"]).alias("a"), F.xxhash64(F.lit(run), part["b"]).alias("b"), size.alias("size"))
+        return F.struct(i.alias("pos"), F.lit(run).alias("run"), F.xxhash64(F.lit(run), part["a"]).alias("a"), F.xxhash64(F.lit(run), part["b"]).alias("b"))
 
     places = F.when(F.size("s") >= run, F.sequence(F.lit(0), F.size("s") - run)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(places, span), lambda x: x["size"] >= least)
+    return F.transform(F.filter(places, needed), span)
 
 
 def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
@@ -50,8 +60,8 @@ def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = R
     read."""
     s = sentences(docs)
     # two hashes of each sentence, and of a run those of its sentences' hashes: 128 bits
-    s = s.select("doc_id", F.transform("s", lambda x: F.struct(F.length(x).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("s"))
-    spans = s.select("doc_id", F.explode(F.concat(*[_runs(run, least) for run, least in runs])).alias("x")).select("doc_id", "x.pos", "x.run", "x.a", "x.b")
+    s = s.select("doc_id", F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("s"), F.transform("s", F.length).alias("n"))
+    spans = s.select("doc_id", F.explode(F.concat(*[_runs(run, least, dict(runs).get(run - 1)) for run, least in runs])).alias("x")).select("doc_id", "x.pos", "x.run", "x.a", "x.b")
     groups = spans.groupBy("run", "a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.collect_list(F.struct("doc_id", "pos")).alias("all")).where(F.size("all") > 1)
     later = groups.select("run", "first", F.explode("all").alias("x")).where(F.col("x") != F.col("first")).select("run", F.col("x.doc_id").alias("doc_id"), F.col("x.pos").alias("pos"), F.col("first.doc_id").alias("source_id"))
     covered = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("run") - 1)).alias("sentence"), "source_id")

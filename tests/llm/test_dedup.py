@@ -1,6 +1,7 @@
 """Near duplicates, repeated passages and repeated sentences."""
 
 import random
+from collections import defaultdict
 
 import duckdb
 import edges
@@ -185,3 +186,32 @@ def test_sentences_against_sql(spark):
     want = duckdb.sql(sentence_spans.repeated_sentences_sql()).fetchall()
     assert got == sorted(want) and got
     assert sentence_spans.repeated_sentences(df.where("false")).collect() == []
+
+
+def sentences_by_brute_force(rows):
+    """All runs of 2 to 8 sentences with 60 characters or more, and all of eight."""
+    seen = defaultdict(set)
+    for i, s in rows:
+        for run in range(2, 9):
+            for p in range(len(s) - run + 1):
+                t = " ".join(s[p : p + run])
+                if len(t) >= 60 or run == 8:
+                    seen[run, t].add((i, p))
+    out = {}
+    for (run, _), places in seen.items():
+        first = min(places)
+        for i, p in places - {first}:
+            for k in range(p, p + run):
+                out[i, k] = min(out.get((i, k), first[0]), first[0])
+    return out
+
+
+def test_sentences_of_every_run_length(spark):
+    rng = random.Random(9)
+    one = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randrange(1, 6)))
+    shared = [[one() for _ in range(n)] for n in range(2, 10) for _ in range(4)]
+    rows = [(i, [s for _ in range(4) for s in (rng.choice(shared) if rng.random() < 0.6 else [one(), one()])]) for i in range(80)]
+    rows += [(90, [f"short one {k}" for k in range(6)]), (91, [f"short one {k}" for k in range(6)]), (92, ["a", "b"] * 9)]
+    got = sentence_spans.repeated_sentences(edges.docs(spark, [(i, "".join(x + ". " for x in s)) for i, s in rows])).collect()
+    assert {(r.doc_id, r.sentence): r.source_id for r in got} == sentences_by_brute_force(rows)
+    assert {r.sentence for r in got if r.doc_id == 91} == set(range(6))
