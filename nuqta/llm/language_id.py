@@ -8,12 +8,13 @@ lookups, additions and maxima; a document's windows cover its whole text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep_rows
@@ -196,16 +197,42 @@ def classify(net: Net, column: pa.Array, max_unknown: float) -> tuple[np.ndarray
     return cls, conf
 
 
+def quotas(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows of each language are drawn: as many of each, as far as it has them."""
+    out = {}
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, (rows - sum(out.values())) // (len(counts) - i))
+    return out
+
+
+def draw(docs: DataFrame, rows: int, seed: int) -> list[dict]:
+    """doc_id, lang and text of each language's rows that come first by a hash of doc_id and
+    text, wherever they lie in the table."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("doc_id", "lang", "text")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
+    if not counts:
+        return []
+    quota = quotas(counts, rows)
+    of = lambda values: F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("lang")]
+    top = 2**63 - 1
+    placed = Window.partitionBy("lang").orderBy("hash", "doc_id", "text")
+    for spare in (1, 16, math.inf):  # rows that repeat share a hash, so that a draw may be short
+        below = {k: top if (share := spare * (1.3 * q + 100) / counts[k]) >= 1 else int(share * top) for k, q in quota.items()}
+        few = labelled.withColumn("hash", F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 1)).where(F.col("hash") <= of(below))
+        out = few.withColumn("place", F.row_number().over(placed)).where(F.col("place") <= of(quota)).select("doc_id", "lang", "text").toArrow().to_pylist()
+        if len(out) == sum(quota.values()):
+            break
+    return out
+
+
 def train(docs: DataFrame, *, fit_rows: int = 3000, seed: int = 7) -> Net:
     """Fit on a bounded sample of ``docs`` that have a ``lang``: ``fit_rows`` rows, drawn by
-    a hash of doc_id, is the documented bound of the labelled sample."""
+    a hash for each language, is the documented bound of the labelled sample. Each language
+    is in it, or the most frequent ``fit_rows``."""
     from .common import shared_dir
 
     shared_dir(docs.sparkSession)
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("lang") != UNKNOWN)).select("doc_id", "lang", "text")
-    n = labelled.count()
-    share = min(1.0, 1.3 * fit_rows / max(1, n) + 100 / max(1, n))
-    rows = labelled.where(F.expr(f"shiftrightunsigned(xxhash64(doc_id, {seed}), 1) <= {int(share * (2**63 - 1))}")).limit(fit_rows).toArrow().to_pylist()
+    rows = draw(docs, fit_rows, seed)
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows], seed=seed)
 

@@ -72,6 +72,16 @@ def test_language_edges(spark, net):
     assert language_id.identify(none, blank).collect() == [] and language_id.keep_identified(df, blank).count() == 0
 
 
+def test_language_sample_has_every_language_wherever_it_lies(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs, **_: (texts, langs))
+    docs = spark.range(0, 8020, 1, 16).selectExpr("id as doc_id", "'text ' || id as text", "if(id < 8000, 'l' || (id div 2000), 'rare') as lang")
+    texts, langs = language_id.train(docs, fit_rows=400)
+    assert Counter(langs) == {"l0": 95, "l1": 95, "l2": 95, "l3": 95, "rare": 20} and len(set(texts)) == 400
+    assert language_id.train(docs.orderBy("text"), fit_rows=400) == (texts, langs)
+    none = docs.selectExpr("cast(null as long) as doc_id", "if(doc_id < 6000, 'same', text) as text", "lang")  # repeated rows
+    assert Counter(language_id.train(none, fit_rows=400)[1]) == Counter(langs)
+
+
 def kn_by_brute_force(texts):
     """Interpolated modified Kneser-Ney of order 5 over bytes, straight from its definition."""
     counts = [None, *(Counter() for _ in range(5))]
