@@ -4,8 +4,8 @@ Each tree splits space at random hyperplanes, at the median of a sample, down to
 Every vector belongs to one leaf of each tree. A query's branches of all trees wait in one
 priority queue, a branch's priority being the least margin on the way to it; the leaves that
 come out first are searched, and their members reranked by exact distance. Leaves are groups
-of a shuffle, in which queries and members meet; a leaf that holds too many members is
-searched by a forest of its own.
+of a shuffle, in which queries and members meet; all members of a leaf are compared, in
+blocks if they are many.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members per leaf aimed at; leaves of a tree at most (so that the forest sent to the workers
-#: is bounded: TREES * MAX_LEAVES * dimensions * 4 bytes); members beyond which a leaf is
-#: searched by its own forest.
+#: is bounded: TREES * MAX_LEAVES * dimensions * 4 bytes); members of a leaf that are compared
+#: at once.
 LEAF, MAX_LEAVES, LARGE = 2048, 2048, 16384
 TREES = 6
 #: Probes whose true neighbours decide how many leaves a query visits, and the share of these
@@ -92,29 +92,14 @@ class Forest:
         return np.argpartition(-priority, visits - 1, axis=1)[:, :visits]
 
 
-def nearest(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, visits: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, visits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and ids (-1: none) of the k nearest members of each query, without
-    the member that has the query's id."""
-    if len(members) > LARGE:
-        depth = max(1, int(np.ceil(np.log2(len(members) / LEAF))))
-        rng = np.random.default_rng(seed)
-        forest = Forest(members[rng.choice(len(members), min(len(members), SAMPLE_PER_LEAF << depth), replace=False)], depth, TREES, seed)
-        home = forest.leaf(members) + (np.arange(TREES) << depth)[:, None]
-        order = np.argsort(home.ravel(), kind="stable")
-        bounds = np.searchsorted(home.ravel()[order], np.arange((TREES << depth) + 1))
-        visits = min(visits, TREES << depth)
-        visit = np.concatenate([forest.search(queries[a : a + 4096], visits) for a in range(0, len(queries), 4096)])
-        by = np.argsort(visit.ravel(), kind="stable")
-        edges = np.searchsorted(visit.ravel()[by], np.arange((TREES << depth) + 1))
-        dist, found = np.full((len(queries), k * visits), np.inf, np.float32), np.full((len(queries), k * visits), -1, np.int64)
-        for leaf in range(TREES << depth):
-            q, m = by[edges[leaf] : edges[leaf + 1]], order[bounds[leaf] : bounds[leaf + 1]] % len(members)
-            if len(q) and len(m):
-                d, i = nearest(queries[q // visits], members[m], ids[m], own[q // visits], k, visits, seed + 1) if len(m) < len(members) else _exact(queries[q // visits], members[m], ids[m], own[q // visits], k)
-                cols = (q % visits)[:, None] * k + np.arange(k)
-                dist[q[:, None] // visits, cols], found[q[:, None] // visits, cols] = d, i
-        return _best(dist, found, k)
-    return _exact(queries, members, ids, own, k)
+    the member that has the query's id. Every member is compared, whatever ``visits`` is."""
+    dist, found = _exact(queries, members[:LARGE], ids[:LARGE], own, k)
+    for a in range(LARGE, len(members), LARGE):
+        d, i = _exact(queries, members[a : a + LARGE], ids[a : a + LARGE], own, k)
+        dist, found = _best(np.concatenate([dist, d], 1), np.concatenate([found, i], 1), k)
+    return dist, found
 
 
 def _best(dist: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +195,9 @@ def neighbours(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embeddi
     depth = int(np.clip(np.ceil(np.log2(max(1, n / LEAF))), 0, np.log2(MAX_LEAVES)))
     wanted = SAMPLE_PER_LEAF << depth
     share = min(1.0, 1.2 * wanted / n + 100 / n)
-    rows = given.where(F.expr(f"shiftrightunsigned(xxhash64(vec_id, {seed}), 1) <= {int(share * (2**63 - 1))}")).limit(wanted).toArrow()
+    # first by a hash, wherever they lie in the table; the bound on it only spares sorting
+    drawn = given.withColumn("hash", F.expr(f"shiftrightunsigned(xxhash64(vec_id, {seed}), 1)")).where(f"hash <= {int(share * (2**63 - 1))}")
+    rows = drawn.orderBy("hash", "vec_id", "v").limit(wanted).drop("hash").toArrow()
     order = np.argsort(rows.column(0).to_numpy(), kind="stable")
     sample = _vectors(rows.column(1).combine_chunks(), dims)[order] if len(rows) else np.zeros((0, dims), np.float32)
     forest = Forest(sample, depth, TREES, seed)
@@ -240,7 +227,7 @@ def neighbours(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embeddi
         x = np.frombuffer(b"".join(group.column("v").to_pylist()), np.float32).reshape(-1, dims)
         _, first = np.unique(ids[~asks], return_index=True)
         q, first_q = np.unique(ids[asks], return_index=True)
-        d, i = nearest(x[asks][first_q], x[~asks][first], ids[~asks][first], q, k, visits)
+        d, i = nearest(x[asks][first_q], x[~asks][first], ids[~asks][first], q, k)
         return pa.table({"vec_id": q, "d": pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, d.astype(np.float64).ravel()), "i": pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, i.ravel())})
 
     found = given.mapInArrow(place, "cell long, asks boolean, vec_id long, v binary").groupBy("cell").applyInArrow(search, "vec_id long, d array<double>, i array<long>")

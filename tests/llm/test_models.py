@@ -274,6 +274,29 @@ def test_large_leaves_have_their_own_forest(monkeypatch):
     assert sum(len(set(want[i]) & set(found[i].tolist())) for i in range(600)) / 3000 > 0.9
 
 
+def test_large_leaves_lose_no_neighbour(monkeypatch):
+    monkeypatch.setattr(rp_forest, "LARGE", 200)
+    monkeypatch.setattr(rp_forest, "LEAF", 50)
+    x = np.random.default_rng(9).standard_normal((650, 8)).astype(np.float32)
+    x[300:310] = x[5]
+    _, found = rp_forest.nearest(x, x, np.arange(650), np.arange(650), 5, 1)
+    assert {i: f.tolist() for i, f in enumerate(found)} == neighbours_by_brute_force(x.astype(float), np.arange(650), 5)
+
+
+def test_splits_are_fitted_on_the_whole_table(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def forest(sample, *_):
+        raise Seen(sample)
+
+    monkeypatch.setattr(rp_forest, "Forest", forest)
+    with pytest.raises(Seen) as e:
+        rp_forest.neighbours(spark.range(0, 4000, 1, 16).selectExpr("id as vec_id", "array(float(id), 0f) as embedding"))
+    part = (e.value.args[0][:, 0] // 250).astype(int)
+    assert len(part) == 48 and len(set(part)) >= 12 and (part >= 8).sum() >= 12
+
+
 def test_neighbours_edges(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [0.0, 0.0]), (8, []), (9, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("embedding", "vec_id", "1 as rank", "2 as cell", "3 as v", "4 as d", "5 as neighbour_id")
