@@ -3,22 +3,38 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has Spark's own bound of 64 MB: a task holds
+    several at once, in the JVM and in its worker. A bound set by the user stays."""
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``; where that is unset
-    (tests, a single machine) a folder of our own."""
+    """The folder every executor can read: ``spark.checkpoint.dir``, or the session's
+    checkpoint folder. Where neither is set, a folder of our own on a single machine, and an
+    error on a cluster."""
+    small_batches(spark)
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="nuqta-"))
     return str(sc._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
@@ -55,11 +71,14 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nuqta_path = path
+    return out
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def drop_written(df: DataFrame) -> None:
+    """Delete the table that ``written`` gave. Nothing may read it later."""
+    _drop(df.sparkSession, df._nuqta_path)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
@@ -106,8 +125,22 @@ BROADCAST_ROWS = 1_000_000
 def join_ids(df: DataFrame, ids: DataFrame, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``left_semi`` or ``left_anti`` join on doc_id. ``ids`` (cheap to read twice) is
     counted first and broadcast up to ``limit`` rows; beyond that both sides shuffle."""
-    from pyspark.sql import functions as F
+    own = free_name(df, "id")
+    one = ids.select(F.col("doc_id").alias(own))
+    few = one.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(one) if few else one, df["doc_id"] == F.col(own), how)
+
 
-    one = ids.select(F.col("doc_id").alias("__id"))
+def join_texts(df: DataFrame, texts: DataFrame, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """As ``join_ids``, on doc_id and the hash ``h`` of the text."""
+    a, b = free_name(df, "id"), free_name(df, "hash")
+    one = texts.select(F.col("doc_id").alias(a), F.col("h").alias(b))
     few = one.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(one) if few else one, F.col("doc_id") == F.col("__id"), how)
+    return df.join(F.broadcast(one) if few else one, (df["doc_id"] == F.col(a)) & (F.xxhash64(df["text"].cast("string")) == F.col(b)), how)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name

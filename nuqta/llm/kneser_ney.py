@@ -15,10 +15,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_ids, keep_rows, ship, written
+from .common import drop_written, join_ids, keep_rows, ship, written
 from .textvec import U64, buffers, chunks
 
 ORDER = 5
@@ -43,7 +43,11 @@ def gram_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """gram, n: the 5-grams of a ``text`` column, combined in the task before the shuffle."""
+    """gram, n, and before them m if ``texts`` has a column m (0 or 1) next to text: the
+    5-grams of each m, combined in the task before the shuffle."""
+    by = "m" in texts.columns
+    m = F.col("m").cast("long") if by else F.lit(0).cast("long")
+    shift = U64(8 * ORDER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -56,21 +60,25 @@ def count_grams(texts: DataFrame) -> DataFrame:
             parts[:] = [(key[first], np.add.reduceat(n, first))]
 
         for batch in batches:
-            data, offsets = buffers(batch.column(0))
+            data, offsets = buffers(batch.column(1))
+            part = batch.column(0).to_numpy().astype(U64) << shift
             for i, j in chunks(offsets):
-                keys = np.sort(gram_keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                off = offsets[i : j + 1] - offsets[i]
+                keys = np.sort(gram_keys(data[offsets[i] : offsets[j]], off) | np.repeat(part[i:j], np.diff(off)))
                 if len(keys):
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                     parts.append((keys[first], np.diff(np.append(first, len(keys)))))
-            if len(parts) > 1 and sum(len(k) for k, _ in parts) > 4_000_000:
+            if len(parts) > 1 and sum(len(k) for k, _ in parts) > 2_000_000:
                 merge()
         if parts:
             merge()
             key, n = parts[0]
             for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000].astype(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["gram", "n"])
+                k = key[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array((k >> shift).astype(np.int64)), pa.array((k & ((U64(1) << shift) - U64(1))).astype(np.int64)), pa.array(n[a : a + 100_000].astype(np.int64))], names=["m", "gram", "n"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = texts.select(m.alias("m"), F.col("text").cast("string")).mapInArrow(run, "m long, gram long, n long")
+    return found.groupBy(*(["m"] if by else []), "gram").agg(F.sum("n").alias("n"))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -88,37 +96,43 @@ def estimate(top: DataFrame) -> DataFrame:
     """The model from 5-gram counts: rows (kind, key, value). Kind n in 1..5: log
     probability of the n-gram ``key``; kind 10 + n: log of the weight that context ``key``
     of n bytes gives to the next lower order. Kind 0: the log probability of an unseen
-    byte."""
+    byte. If ``top`` has a column m, each of its values is a model of its own."""
+    if "m" not in top.columns:
+        return estimate(top.withColumn("m", F.lit(0))).drop("m")
     spark = top.sparkSession
-    counts = {ORDER: top}
+    counts = {ORDER: written(top.select(F.col("m").cast("int").alias("m"), "gram", "n"), f"kn{ORDER}")}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct longer n-grams that end so
-        counts[n] = counts[n + 1].groupBy((F.col("gram").bitwiseAND((1 << 8 * n) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-    counts = {n: written(c, f"kn{n}") for n, c in counts.items()}
-    of = reduce(DataFrame.unionAll, [c.groupBy().agg(F.lit(n).alias("order"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.sum("n").alias("total"), F.count("*").alias("kinds")) for n, c in counts.items()])
-    stats = {r["order"]: r for r in of.collect()}  # five rows
-    out = []
-    lower = None
+        counts[n] = written(counts[n + 1].groupBy("m", F.col("gram").bitwiseAND((1 << 8 * n) - 1).alias("gram")).agg(F.count("*").alias("n")), f"kn{n}")
+    of = reduce(DataFrame.unionAll, [c.groupBy("m").agg(F.lit(n).alias("order"), *[F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)], F.sum("n").alias("total"), F.count("*").alias("kinds")) for n, c in counts.items()])
+    stats = {(r["m"], r["order"]): r for r in of.collect()}  # five rows a model
+    models = sorted({m for m, _ in stats})
+    each = lambda values: reduce(lambda x, m: x.when(F.col("m") == m, float(values[m])), models, F.when(F.lit(False), 0.0))
+    out, lower = [], None
     for n in range(1, ORDER + 1):
-        s = stats[n]
-        d1, d2, d3 = discounts(s["n1"], s["n2"], s["n3"], s["n4"])
-        d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        c = counts[n].withColumn("d", d).withColumn("ctx", F.shiftright("gram", 8))
+        d = {m: discounts(*[stats[m, n][f"n{k}"] for k in (1, 2, 3, 4)]) for m in models}
+        d1, d2, d3 = (each({m: d[m][k] for m in models}) for k in range(3))
+        c = counts[n].withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).withColumn("ctx", F.shiftright("gram", 8))
         if n == 1:
-            total = float(s["total"] or 1)
-            kept = (s["n1"] * d1 + s["n2"] * d2 + (s["kinds"] - s["n1"] - s["n2"]) * d3) / total if s["kinds"] else 1.0
-            p = c.select("gram", ((F.col("n") - F.col("d")) / total + kept / 256).alias("p"))
-            out.append(spark.range(1).select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(float(np.log(kept / 256))).alias("value")))
+            total = {m: float(stats[m, 1]["total"]) for m in models}
+            kept = {m: sum(x * y for x, y in zip((stats[m, 1]["n1"], stats[m, 1]["n2"], stats[m, 1]["kinds"] - stats[m, 1]["n1"] - stats[m, 1]["n2"]), d[m], strict=True)) / total[m] for m in models}
+            p = c.select("m", "gram", ((F.col("n") - F.col("d")) / each(total) + each(kept) / 256).alias("p"))
+            unseen = [(m, 0, 0, float(np.log(kept[m] / 256))) for m in models] or [(0, 0, 0, float(-np.log(256)))]
+            out.append(spark.createDataFrame(unseen, "m int, kind int, key long, value double"))
         else:
-            ctx = c.groupBy("ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("kept"))
+            ctx = c.groupBy("m", "ctx").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("kept"))
+            low = lower.select(F.col("m").alias("lm"), F.col("gram").alias("low"), F.col("p").alias("q"))
             p = (
-                c.join(ctx, "ctx")
-                .join(lower.select(F.col("gram").alias("low"), F.col("p").alias("q")), F.col("gram").bitwiseAND((1 << 8 * (n - 1)) - 1) == F.col("low"))
-                .select("gram", ((F.col("n") - F.col("d") + F.col("kept") * F.col("q")) / F.col("total")).alias("p"))
+                c.join(ctx, ["m", "ctx"])
+                .join(low, (F.col("m") == F.col("lm")) & (F.col("gram").bitwiseAND((1 << 8 * (n - 1)) - 1) == F.col("low")))
+                .select("m", "gram", ((F.col("n") - F.col("d") + F.col("kept") * F.col("q")) / F.col("total")).alias("p"))
             )
-            out.append(ctx.select(F.lit(10 + n - 1).alias("kind"), F.col("ctx").alias("key"), F.log(F.col("kept") / F.col("total")).alias("value")))
+            out.append(ctx.select("m", F.lit(10 + n - 1).alias("kind"), F.col("ctx").alias("key"), F.log(F.col("kept") / F.col("total")).alias("value")))
         lower = written(p, f"p{n}")
-        out.append(lower.select(F.lit(n).alias("kind"), F.col("gram").alias("key"), F.log("p").alias("value")))
-    return written(reduce(DataFrame.unionAll, out), "kn_model")
+        out.append(lower.select("m", F.lit(n).alias("kind"), F.col("gram").alias("key"), F.log("p").alias("value")))
+    model = written(reduce(DataFrame.unionAll, out), "kn_model")
+    for c in counts.values():
+        drop_written(c)
+    return model
 
 
 class Tables:
@@ -203,7 +217,8 @@ def _tables(name: str) -> Tables:
     if name not in _mapped:
         from pyspark import SparkFiles
 
-        _mapped.clear()
+        if len(_mapped) > 1:
+            _mapped.clear()
         _mapped[name] = Tables(np.memmap(SparkFiles.get(name), np.uint8, "r"))
     return _mapped[name]
 
@@ -220,12 +235,6 @@ class Quality:
     prior: float
 
 
-def perplexity(log_p: np.ndarray, size: np.ndarray, mean: np.ndarray, prior: float) -> np.ndarray:
-    """Per byte. ``prior`` bytes at the language's mean are added to each text, so that a
-    few bytes don't decide."""
-    return np.exp((-log_p + prior * mean) / np.maximum(size + prior, 1e-9))
-
-
 def send(table: DataFrame, limit: int = MAX_SENT_ROWS) -> str | None:
     if table.count() > limit:
         return None
@@ -237,7 +246,8 @@ def send(table: DataFrame, limit: int = MAX_SENT_ROWS) -> str | None:
 def score(docs: DataFrame, table: DataFrame, name: str | None) -> DataFrame:
     """docs' doc_id and lang with log_p and size of each row's text."""
     if name is None:
-        return score_sharded(docs, table)
+        rows, names = _scored_rows(docs.select("doc_id", "lang", "text"), table)
+        return rows.select(F.col(names[0]).cast("long").alias("doc_id"), F.col("lang").cast("string"), "log_p", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,11 +257,10 @@ def score(docs: DataFrame, table: DataFrame, name: str | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang string, log_p double, size long")
 
 
-def score_sharded(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """As ``score``, for a model of any size: the documents' distinct n-grams are joined to
-    the model's shards order by order, longest first; what an order lacks goes on to the
-    next with the context's weight."""
-    rows = written(docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).withColumn("row", F.monotonically_increasing_id()), "rows")
+def score_sharded(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """row and log_p of ``rows`` (row, text), for a model of any size: the texts' distinct
+    n-grams are joined to the model's shards order by order, longest first; what an order lacks
+    goes on to the next with the context's weight. A text without a byte has no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,7 +275,7 @@ def score_sharded(docs: DataFrame, table: DataFrame) -> DataFrame:
                 ids = b.column(0).to_numpy()[doc[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(key[first].astype(np.int64)), pa.array(np.diff(np.append(first, len(key))).astype(np.int64))], names=["row", "gram", "n"])
 
-    open_ = rows.select("row", "text").mapInArrow(run, "row long, gram long, n long").withColumn("w", F.lit(0.0))
+    open_ = rows.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, gram long, n long").withColumn("w", F.lit(0.0))
     done = []
     for n in range(ORDER, 0, -1):
         own = table.where(F.col("kind") == n).select(F.col("key").alias("gram"), F.col("value").alias("v"))
@@ -277,10 +286,18 @@ def score_sharded(docs: DataFrame, table: DataFrame) -> DataFrame:
             ctx = table.where(F.col("kind") == 10 + n - 1).select(F.col("key").alias("ctx"), F.col("value").alias("v"))
             open_ = open_.withColumn("ctx", F.shiftright("gram", 8)).join(ctx, "ctx", "left")
             open_ = open_.select("row", F.col("gram").bitwiseAND((1 << 8 * (n - 1)) - 1).alias("gram"), "n", (F.col("w") + F.coalesce("v", F.lit(0.0))).alias("w"))
-    unseen = table.where("kind = 0").select(F.col("value").alias("u"))
-    done.append(open_.crossJoin(F.broadcast(unseen)).select("row", (F.col("n") * (F.col("w") + F.col("u"))).alias("s")))
-    sums = reduce(DataFrame.unionAll, done).groupBy("row").agg(F.sum("s").alias("log_p"))
-    return rows.join(sums, "row", "left").select("doc_id", "lang", F.coalesce("log_p", F.lit(0.0)).alias("log_p"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    unseen = table.where("kind = 0").select("value").first()[0]
+    done.append(open_.select("row", (F.col("n") * (F.col("w") + F.lit(unseen))).alias("s")))
+    return reduce(DataFrame.unionAll, done).groupBy("row").agg(F.sum("s").alias("log_p"))
+
+
+def _scored_rows(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` under names of our own (c0, c1, ...) but for lang and text, each row with its
+    log_p and size."""
+    names = [c if c in ("lang", "text") else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "rows")
+    out = rows.join(score_sharded(rows, table), "row", "left").withColumn("log_p", F.coalesce("log_p", F.lit(0.0)))
+    return out.withColumn("size", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long")), names
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -288,28 +305,41 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
 
 
-def train(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, slack: float = 1.05, prior: float = 64, max_sent_rows: int = MAX_SENT_ROWS) -> Quality:
-    """Fit on all trusted texts. A language's limit is ``slack`` times the ``quantile`` of
-    its trusted documents' perplexities; a language without any takes that of them all."""
+def train(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.985, prior: float = 300, max_sent_rows: int = MAX_SENT_ROWS) -> Quality:
+    """Fit on all trusted texts. A language's limit is the ``quantile`` of its trusted
+    documents' perplexities, each by a model of the half of them (by a hash of doc_id) that it
+    is not in; a language without any takes that of them all."""
     good = join_ids(docs.select("doc_id", "lang", "text").where("text is not null"), trusted_ids(labels), "left_semi")
-    table = estimate(count_grams(good.select("text")))
-    name = send(table, max_sent_rows)
-    scored = written(score(good, table, name), "trusted")
+    good = good.withColumn("m", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    halves = written(count_grams(good.select("m", "text")), "halves")
+    both = halves.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(2).alias("m"), "gram", "n")
+    models = estimate(halves.select(F.col("m").cast("int").alias("m"), "gram", "n").unionByName(both))
+    of = [models.where(F.col("m") == m).drop("m") for m in range(3)]
+    table, name = of[2], send(of[2], max_sent_rows)
+    held = [score(good.where(F.col("m") == 1 - m), of[m], send(of[m], max_sent_rows)) for m in range(2)]
+    scored = written(held[0].unionByName(held[1]), "trusted")
     mean = {r["lang"]: r["m"] for r in scored.groupBy("lang").agg((-F.sum("log_p") / F.sum("size")).alias("m")).collect() if r["m"] is not None}
     whole = scored.agg((-F.sum("log_p") / F.sum("size")).alias("m")).first()["m"]
     if whole is None:  # nothing to trust: nothing to reject
         return Quality(table, name, {None: float(np.log(256))}, {None: float("inf")}, prior)
-    at = F.create_map(*[x for k, v in mean.items() if k is not None for x in (F.lit(k), F.lit(v))]) if any(k is not None for k in mean) else None
-    own = F.coalesce(at[F.col("lang")], F.lit(whole)) if at is not None else F.lit(whole)
-    ppl = scored.select("lang", F.exp((-F.col("log_p") + F.lit(prior) * own) / (F.col("size") + prior)).alias("x"))
-    limit = {r["lang"]: r["x"] * slack for r in ppl.groupBy("lang").agg(F.percentile_approx("x", quantile, 100_000).alias("x")).collect()}
-    everywhere = ppl.agg(F.percentile_approx("x", quantile, 100_000).alias("x")).first()["x"] * slack
-    limit[None], mean[None] = everywhere, whole
+    mean[None] = whole
+    ppl = scored.select("lang", perplexity(mean, prior).alias("x"))
+    limit = {r["lang"]: r["x"] for r in ppl.groupBy("lang").agg(F.percentile_approx("x", quantile, 100_000).alias("x")).collect()}
+    limit[None] = ppl.agg(F.percentile_approx("x", quantile, 100_000).alias("x")).first()["x"]
     return Quality(table, name, mean, limit, prior)
 
 
-def _of(values: dict[str | None, float], langs: list[str | None]) -> np.ndarray:
-    return np.array([values.get(x, values[None]) for x in langs], float)
+def of_language(values: dict[str | None, float]) -> Column:
+    """The value of the column lang; that of None for a null or unknown one."""
+    known = [x for k, v in values.items() if k is not None for x in (F.lit(k), F.lit(float(v)))]
+    rest = F.lit(float(values[None]))
+    return F.coalesce(F.create_map(*known)[F.col("lang")], rest) if known else rest
+
+
+def perplexity(mean: dict[str | None, float], prior: float) -> Column:
+    """Per byte, from the columns lang, log_p and size. ``prior`` bytes at the language's mean
+    are added to each text, so that a few bytes don't decide."""
+    return F.exp((-F.col("log_p") + prior * of_language(mean)) / (F.col("size") + prior))
 
 
 def assess(docs: DataFrame, q: Quality) -> DataFrame:
@@ -319,29 +349,25 @@ def assess(docs: DataFrame, q: Quality) -> DataFrame:
     doc_id is kept; a null or unknown lang is judged by the threshold of all languages;
     repeated rows give repeated results; an empty table an empty result. A text exactly at
     the threshold is accepted. Columns besides doc_id, lang and text aren't read."""
-    mean, limit, prior = q.mean, q.limit, q.prior
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs = b.column(1).to_pylist()
-            size = b.column(3).to_numpy()
-            ppl = perplexity(b.column(2).to_numpy(), size, _of(mean, langs), prior)
-            top = _of(limit, langs)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ppl), pa.array(top), pa.array((ppl <= top) & (size > 0))], names=["doc_id", "lang", "perplexity", "threshold", "accepted"])
-
-    return score(docs, q.table, q.name).mapInArrow(run, "doc_id long, lang string, perplexity double, threshold double, accepted boolean")
+    x, top = perplexity(q.mean, q.prior), of_language(q.limit)
+    return score(docs, q.table, q.name).select("doc_id", "lang", x.alias("perplexity"), top.alias("threshold"), ((x <= top) & (F.col("size") > 0)).alias("accepted"))
 
 
 def keep_good(docs: DataFrame, q: Quality) -> DataFrame:
-    """The rows of ``docs`` that ``assess`` accepts, with all their columns."""
+    """The rows of ``docs`` that ``assess`` accepts, with all their columns, whatever their
+    names; each row is judged by itself, whether its doc_id is null or repeats. Null and empty
+    texts go; an empty table gives an empty one."""
     if q.name is None:
-        return join_ids(docs, written(assess(docs, q).where("accepted").select("doc_id"), "good"), "left_semi")
+        rows, names = _scored_rows(docs, q.table)
+        return rows.where((perplexity(q.mean, q.prior) <= of_language(q.limit)) & (F.col("size") > 0)).select(*names).toDF(*docs.columns)
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
     name, mean, limit, prior = q.name, q.mean, q.limit, q.prior
 
     def judge(b: pa.RecordBatch) -> tuple[np.ndarray, dict[str, pa.Array]]:
         langs = b.column(lang).to_pylist()
+        of = lambda values: np.array([values.get(x, values[None]) for x in langs], float)
         total, size = _tables(name).score(b.column(text))
-        return (perplexity(total, size, _of(mean, langs), prior) <= _of(limit, langs)) & (size > 0), {}
+        x = np.exp((-total + prior * of(mean)) / (size + prior))
+        return (x <= of(limit)) & (size > 0), {}
 
     return keep_rows(docs, judge)

@@ -50,7 +50,8 @@ def test_near_duplicates_against_brute_force(spark):
             rows.append((n, " ".join(w).capitalize() + "." if g % 2 else " ".join(w)))
             n += 1
     rng.shuffle(rows)
-    got = {r.doc_id: r.duplicate_of for r in near_dup.near_duplicates(edges.docs(spark, rows)).collect()}
+    df = edges.docs(spark, rows)
+    got = {r.doc_id: (r.class_id, r.links) for r in near_dup.near_duplicates(df).collect()}
     texts = dict(rows)
     group = list(range(n))
     for a in range(n):
@@ -60,15 +61,44 @@ def test_near_duplicates_against_brute_force(spark):
             if j > 0.55:
                 x, y = group[a], group[b]
                 group = [min(x, y) if g in (x, y) else g for g in group]
-    assert got == {i: g for i, g in enumerate(group) if i != g}
+    # links: all pairs that share a band and whose sketches are near, counted one by one
+    sk = {r.doc_id: r for r in near_dup.sketches(df).collect()}
+
+    def linked(x, y):
+        apart = (int.from_bytes(x.sketch) ^ int.from_bytes(y.sketch)).bit_count()
+        return any(p == q for p, q in zip(x.bands, y.bands, strict=True)) and apart <= near_dup.max_distance(0.55)
+
+    links = []
+    for a in range(n):
+        near = [sk[b] for b in range(n) if b != a and linked(sk[a], sk[b])]
+        copies = [x for x in near if x.sig_a == sk[a].sig_a]
+        links.append(len(copies) + len({x.sig_a for x in near} - {sk[a].sig_a}))
+    assert got == {i: (g, links[i]) for i, g in enumerate(group) if links[i]}
+    # bands of more than one block are compared in tiles, with the same result
+    for tile in (2,):
+        tiled = near_dup.classify(df, tile=tile).where("links > 0").collect()
+        assert {r.doc_id: (r.class_id, r.links) for r in tiled} == got
+    kept = near_dup.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(group))
 
 
 def test_near_duplicates_edges(spark):
     df = edges.docs(spark, edges.ROWS)
-    assert [tuple(r) for r in near_dup.near_duplicates(df).collect()] == [(2, 1)]
-    assert near_dup.near_duplicates(df.where("false")).collect() == []
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
+    assert near_dup.near_duplicates(df.where("false")).collect() == [] == near_dup.keep_one(df.where("false")).collect()
     many = edges.docs(spark, [(i, edges.PROSE * 3) for i in range(300)] + [(1000, "other words than these here")])
-    assert sorted(tuple(r) for r in near_dup.near_duplicates(many).collect()) == [(i, 0) for i in range(1, 300)]
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(many).collect()) == [(i, 0, 299) for i in range(300)]
+    assert sorted(r.doc_id for r in near_dup.keep_one(many).collect()) == [0, 1000]
+    kept = near_dup.keep_one(df)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == df.columns and len(ids) == len(edges.ROWS) - 2 and 2 not in ids and ids.count(None) == 2
+
+
+def test_one_id_with_several_texts(spark):
+    other = "other words than these are here and they go on for a while " * 3
+    df = edges.docs(spark, [(1, edges.PROSE * 3), (1, other), (2, other), (1, other), (3, edges.PROSE * 3)])
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(df).collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+    assert sorted((r.doc_id, r.text) for r in near_dup.keep_one(df).collect()) == sorted([(1, edges.PROSE * 3), (1, other)])
 
 
 def test_components(spark):
@@ -95,9 +125,9 @@ def passages_by_brute_force(rows, length):
     return out
 
 
-def passages_of(df, length):
+def passages_of(df, length, **options):
     got = {}
-    for r in bwt_dedup.repeated_passages(df, length=length).collect():
+    for r in bwt_dedup.repeated_passages(df, length=length, **options).collect():
         for k in range(r.end_word - r.start_word - length + 1):
             assert (r.doc_id, r.start_word + k) not in got
             got[r.doc_id, r.start_word + k] = r.source_id, r.source_word + k
@@ -115,7 +145,10 @@ def test_passages_against_brute_force(spark, length):
             w += prose(rng, rng.randrange(60)) + rng.choice(shared)
         rows.append((i, " ".join(w)))
     rows += [(70, "same " * 400), (71, "same " * (length + 3)), (72, "a b " * 200), (73, "same " * length), (74, rows[3][1]), (3, rows[3][1])]
-    assert passages_of(edges.docs(spark, rows), length) == passages_by_brute_force(rows, length)
+    df, want = edges.docs(spark, rows), passages_by_brute_force(rows, length)
+    assert passages_of(df, length) == want
+    assert passages_of(df, length, hot=100) == want  # some keys by merging, some by hashes
+    assert passages_of(df, length, hot=0) == want
 
 
 def test_interleave_of_many_shards():
@@ -174,6 +207,21 @@ def test_cut_repeats(spark):
     assert got == {1: ("Én, four.", 9), 2: ("", 0), 3: (None, None), 4: ("", 0), None: ("x y", 3)}
 
 
+def test_remove_passages(spark):
+    rng = random.Random(12)
+    shared, own = prose(rng, 80), [prose(rng, 30) for _ in range(4)]
+    rows = [(1, " ".join(own[0] + shared)), (2, " ".join(own[1] + shared + own[2])), (2, " ".join(own[3])), (2, " ".join(own[3])), (3, None), (None, " ".join(shared)), (4, "")]
+    df = edges.docs(spark, rows)
+    out = bwt_dedup.remove_passages(df)
+    assert out.columns == df.columns
+    got = sorted((r.doc_id or 0, r.text or "", r.n_chars) for r in out.collect())
+    cut = " ".join(own[1] + own[2])
+    assert got == sorted((i or 0, t or "", None if t is None else len(t)) for i, t in [rows[0], (2, cut), *rows[2:]])
+    assert bwt_dedup.remove_passages(df.where("false")).collect() == []
+    again = edges.docs(spark, edges.ROWS)
+    assert bwt_dedup.remove_passages(again).count() == len(edges.ROWS)
+
+
 def test_sentences_against_sql(spark):
     rng = random.Random(8)
     sentence = lambda: " ".join(prose(rng, rng.randrange(1, 9))).capitalize() + rng.choice([". ", "! ", "?\n", ".\n\n", "..."])
