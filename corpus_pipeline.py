@@ -9,30 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nuqta.llm import bwt_dedup, kneser_ney, language_id, near_dup, packing
-from nuqta.llm.common import join_ids, written
+from nuqta.llm.common import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text is in no known language go; ``lang`` becomes the one found."""
+    """Rows whose text is in no known language go, null and empty texts among them; ``lang``
+    becomes the one found. Each row is judged by itself; an empty table gives an empty one;
+    other columns stay, whatever their names."""
     return language_id.keep_identified(docs, language_id.train(docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows less like trusted text than their language's threshold go."""
+    """Rows less like trusted text than their language's threshold go, null and empty texts
+    among them. Each row is judged by itself; an empty table gives an empty one; other columns
+    stay, whatever their names."""
     return kneser_ney.keep_good(docs, kneser_ney.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays. Rows without
-    a doc_id stay; rows that repeat a doc_id are one document and stay or go together."""
-    return join_ids(docs, written(near_dup.near_duplicates(docs).select("doc_id"), "duplicates"), "left_anti")
+    """Of each class of near duplicates the document with the least doc_id stays, as one row.
+    Rows without a doc_id, a text or a word stay; an empty table gives an empty one; other
+    columns stay, whatever their names."""
+    return near_dup.keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur at an earlier place are cut out; documents of
-    which nothing else is left go."""
-    spans = written(bwt_dedup.repeated_passages(docs).select("doc_id", "start_word", "end_word"), "spans")
-    return bwt_dedup.cut_repeats(docs, spans).where("text is null or trim(text) <> ''")
+    which nothing else is left go. Rows without a doc_id or a text stay as they are; an empty
+    table gives an empty one; other columns stay, whatever their names, but for n_chars."""
+    return bwt_dedup.remove_passages(docs).where("text is null or trim(text) <> ''")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
