@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, written
-from .textvec import _INV, _INV2, BASE, BASE2, CHUNK, U64, buffers, chunks, mix, powers, take_ranges
+from .textvec import _INV, _INV2, BASE, BASE2, U64, buffers, chunks, mix, powers, take_ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LETTER, DIGIT, SPACE, OTHER = range(4)
 NO_RANK = np.int32(2**31 - 1)
+#: Bytes of text whose distinct words are looked up together.
+CHUNK = (1 << 20) - 16
 #: Words up to this many bytes are merged in a matrix, longer ones with a heap.
 MATRIX_BYTES = 64
 _classes: list[np.ndarray] = []

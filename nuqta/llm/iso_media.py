@@ -21,10 +21,25 @@ from .textvec import buffers
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"mvex", b"moof", b"traf", b"dinf"}
 
 
+#: Nested boxes at most; 64-bit sizes, offsets and times must be under it.
+DEEPEST, GREATEST = 16, 1 << 62
+
+
+#: Bytes of a box's body at least, in version 0 and 1.
+LEAST = {b"ftyp": (4, 4), b"tkhd": (16, 24), b"mdhd": (20, 32), b"hdlr": (12, 12), b"stsz": (12, 12), b"stz2": (12, 12), b"trex": (24, 24), b"tfdt": (8, 12)}
+LEAST |= dict.fromkeys((b"stsd", b"stts", b"ctts", b"stss", b"stsc", b"stco", b"co64", b"tfhd", b"trun"), (8, 8))
+
+
 class Malformed(ValueError):
     pass
 
 
+def bounded(value: int) -> int:
+    if value >= GREATEST:
+        raise Malformed(f"{value} is no size or time")
+    return value
+
+
 def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """Type and payload range of each box in a range. Size 1 means a 64-bit size, 0 up to
     the end of the range."""
@@ -43,6 +58,9 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
             head += 16
         if size < head or at + size > end:
             raise Malformed(f"box {kind!r} at {at} of {size} bytes goes beyond {end}")
+        least = LEAST.get(kind)
+        if least and size - head < least[size > head and kind != b"ftyp" and data[at + head] == 1]:
+            raise Malformed(f"cut box {kind!r} at {at}")
         yield kind, at + head, at + size
         at += size
 
@@ -53,7 +71,10 @@ def table(data: memoryview, at: int, end: int, dtype: str, columns: int, start:
     item = np.dtype(dtype).itemsize * columns
     if at + start + n * item > end:
         raise Malformed(f"a table of {n} entries goes beyond its box at {at}")
-    return np.frombuffer(data, dtype, n * columns, at + start).reshape(n, columns).astype(np.int64)
+    out = np.frombuffer(data, dtype, n * columns, at + start).reshape(n, columns)
+    if item == 8 * columns and n:
+        bounded(int(out.max()))
+    return out.astype(np.int64)
 
 
 def codec_of(data: memoryview, at: int, end: int) -> str:
@@ -77,11 +98,20 @@ class Track:
         self.duration = 0
         self.tables: dict[bytes, np.ndarray] = {}
         self.size = 0
-        self.fragments: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # offset, size, time, key
+        self.fragments: list[tuple[np.ndarray, ...]] = []  # as samples()
         self.next_time = 0
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Offset, size, decoding time and whether it is a key frame, of each sample."""
+    def samples(self) -> tuple[np.ndarray, ...]:
+        """Offset, size, decoding time, whether it is a key frame, and the time at which it is
+        shown, of each sample. Raises Malformed, whatever is wrong with the tables."""
+        try:
+            return self._samples()
+        except Malformed:
+            raise
+        except (IndexError, OverflowError, ValueError) as error:
+            raise Malformed(f"{type(error).__name__}: {error}") from None
+
+    def _samples(self) -> tuple[np.ndarray, ...]:
         t = self.tables
         sizes = t.get(b"stsz", np.zeros(0, np.int64))
         n = len(sizes)
@@ -92,11 +122,13 @@ class Track:
             if not len(runs) or runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
                 raise Malformed("no chunk map, or one out of order")
             per_chunk = np.repeat(runs[:, 1].clip(0, n), np.diff(np.minimum(np.append(runs[:, 0], len(chunk_at) + 1), len(chunk_at) + 1)))
-            if int(per_chunk.sum()) < n:
+            until = np.cumsum(per_chunk)
+            if not len(until) or until[-1] < n:
                 raise Malformed("fewer places than samples")
-            chunk = np.repeat(np.arange(len(chunk_at)), per_chunk)[:n]
+            per_chunk = per_chunk[: np.searchsorted(until, n) + 1]  # no more than the samples need
+            chunk = np.repeat(np.arange(len(per_chunk)), per_chunk)[:n]
             before = np.cumsum(sizes) - sizes
-            first = np.searchsorted(chunk, np.arange(len(chunk_at)))
+            first = np.searchsorted(chunk, np.arange(len(per_chunk)))
             offset = chunk_at[chunk] + before - before[np.minimum(first, n - 1)][chunk]
             stts = t.get(b"stts", np.zeros((0, 2), np.int64))
             if int(stts[:, 0].sum()) < n:
@@ -107,33 +139,55 @@ class Track:
                 key[:] = False
                 sync = t[b"stss"] - 1
                 key[sync[(sync >= 0) & (sync < n)]] = True
-            parts.append((offset, sizes, np.cumsum(delta) - delta, key))
+            time = np.cumsum(delta) - delta
+            shown = time
+            if b"ctts" in t:  # what lacks an entry is shown when it is decoded
+                counts, shift = np.minimum(np.cumsum(t[b"ctts"][:, 0]), n), t[b"ctts"][:, 1]
+                more = np.repeat(shift, np.diff(counts, prepend=0))
+                shown = time + np.concatenate([more, np.zeros(n - len(more), np.int64)])
+            parts.append((offset, sizes, time, key, shown))
         parts += self.fragments
         if not parts:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool), np.zeros(0, np.int64))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
 
 
 def parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
-    """Brand and tracks of a file. Raises Malformed."""
+    """Brand and tracks of a file. Raises Malformed, whatever is wrong with it."""
+    try:
+        return _parse(content)
+    except Malformed:
+        raise
+    except (struct.error, IndexError, OverflowError, ValueError) as error:
+        raise Malformed(f"{type(error).__name__}: {error}") from None
+
+
+def _parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
     data = memoryview(content)
     brand, tracks, defaults = "", [], {}
-    found = False
+    found, total = False, 0
 
-    def trak(at: int, end: int, t: Track) -> None:
+    def trak(at: int, end: int, t: Track, depth: int = 0) -> None:
+        if depth > DEEPEST:
+            raise Malformed(f"boxes nested more than {DEEPEST} deep")
         for kind, a, z in boxes(data, at, end):
             if kind in (b"mdia", b"minf", b"stbl"):
-                trak(a, z, t)
+                trak(a, z, t, depth + 1)
             elif kind == b"tkhd":
                 t.id = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
             elif kind == b"mdhd":
                 t.timescale, t.duration = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
+                bounded(t.duration)
             elif kind == b"hdlr":
                 t.handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
             elif kind == b"stsd":
                 t.codec = codec_of(data, a, z)
             elif kind == b"stts":
                 t.tables[kind] = table(data, a, z, ">u4", 2)
+            elif kind == b"ctts":
+                t.tables[kind] = table(data, a, z, ">u4", 2)
+                if data[a] == 1:  # signed
+                    t.tables[kind][:, 1] = t.tables[kind][:, 1].astype(np.uint32).view(np.int32)
             elif kind == b"stss":
                 t.tables[kind] = table(data, a, z, ">u4", 1)[:, 0]
             elif kind == b"stsc":
@@ -155,6 +209,7 @@ def parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
                 t.tables[b"stco"] = table(data, a, z, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]
 
     def traf(at: int, end: int, moof: int) -> None:
+        nonlocal total
         t, base, dur, size, flags, time = None, moof, 0, 0, 0, None
         after = moof
         for kind, a, z in boxes(data, at, end):
@@ -165,7 +220,7 @@ def parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
                 dur, size, flags = defaults.get(number, (0, 0, 0))
                 p = a + 8
                 if bits & 1:
-                    base = struct.unpack_from(">Q", data, p)[0]
+                    base = bounded(struct.unpack_from(">Q", data, p)[0])
                     p += 8
                 p += 4 * bool(bits & 2)
                 for bit in (8, 16, 32):
@@ -175,7 +230,7 @@ def parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
                         p += 4
                 after = base
             elif kind == b"tfdt":
-                time = struct.unpack_from(">Q" if data[a] == 1 else ">I", data, a + 4)[0]
+                time = bounded(struct.unpack_from(">Q" if data[a] == 1 else ">I", data, a + 4)[0])
             elif kind == b"trun" and t is not None:
                 bits, n = struct.unpack_from(">II", data, a)
                 bits &= 0xFFFFFF
@@ -188,8 +243,9 @@ def parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
                     first_flags = struct.unpack_from(">I", data, p)[0]
                     p += 4
                 fields = [b for b in (0x100, 0x200, 0x400, 0x800) if bits & b]
-                if p + 4 * n * len(fields) > z or n > len(data):
-                    raise Malformed("cut run of samples")
+                total += n
+                if p + 4 * n * len(fields) > z or total > len(data):
+                    raise Malformed("cut run of samples, or more of them than bytes")
                 rows = np.frombuffer(data, ">u4", n * len(fields), p).reshape(n, len(fields)).astype(np.int64)
                 col = {b: rows[:, k] for k, b in enumerate(fields)}
                 sizes = col.get(0x200, np.full(n, size, np.int64))
@@ -198,51 +254,51 @@ def parse(content: bytes | memoryview) -> tuple[str, list[Track]]:
                 if first_flags is not None and n:
                     f[0] = first_flags
                 begin = t.next_time if time is None else time
-                t.fragments.append((after + np.cumsum(sizes) - sizes, sizes, begin + np.cumsum(deltas) - deltas, (f & 0x10000) == 0))
+                times = begin + np.cumsum(deltas) - deltas
+                shift = col.get(0x800, np.zeros(n, np.int64))
+                shift = shift.astype(np.uint32).view(np.int32) if data[a] == 1 else shift
+                t.fragments.append((after + np.cumsum(sizes) - sizes, sizes, times, (f & 0x10000) == 0, times + shift))
                 after += int(sizes.sum())
                 t.next_time = begin + int(deltas.sum())
                 time = None
 
-    try:
-        for kind, a, z in boxes(data, 0, len(data)):
-            if kind == b"ftyp":
-                brand = bytes(data[a : a + 4]).decode("latin-1")
-            elif kind == b"moov":
-                found = True
-                for sub, s, e in boxes(data, a, z):
-                    if sub == b"trak":
-                        tracks.append(Track())
-                        trak(s, e, tracks[-1])
-                    elif sub == b"mvex":
-                        for x, i, _ in boxes(data, s, e):
-                            if x == b"trex":
-                                number, _, dur, size, flags = struct.unpack_from(">5I", data, i + 4)
-                                defaults[number] = dur, size, flags
-            elif kind == b"moof":
-                for sub, s, e in boxes(data, a, z):
-                    if sub == b"traf":
-                        traf(s, e, a - 8)
-    except struct.error as error:
-        raise Malformed(str(error)) from None
+    for kind, a, z in boxes(data, 0, len(data)):
+        if kind == b"ftyp":
+            brand = bytes(data[a : a + 4]).decode("latin-1")
+        elif kind == b"moov":
+            found = True
+            for sub, s, e in boxes(data, a, z):
+                if sub == b"trak":
+                    tracks.append(Track())
+                    trak(s, e, tracks[-1])
+                elif sub == b"mvex":
+                    for x, i, _ in boxes(data, s, e):
+                        if x == b"trex":
+                            number, _, dur, size, flags = struct.unpack_from(">5I", data, i + 4)
+                            defaults[number] = dur, size, flags
+        elif kind == b"moof":
+            for sub, s, e in boxes(data, a, z):
+                if sub == b"traf":
+                    traf(s, e, a - 8)
     if not found:
         raise Malformed("no moov box")
     return brand, tracks
 
 
-TRACKS = "media_id long, track_id int, brand string, handler string, codec string, timescale long, duration_s double, n_samples long, n_bytes long, keyframes array<struct<offset:long,size:long,time_s:double>>, error string"
+TRACKS = "media_id long, track_id long, brand string, handler string, codec string, timescale long, duration_s double, n_samples long, n_bytes long, keyframes array<struct<offset:long,size:long,time_s:double>>, error string"
 
 
 def tracks(media: DataFrame, *, id: str = "media_id", content: str = "content") -> DataFrame:  # noqa: A002
     """One row for each track of each file of a binary column: media_id, track_id, brand,
     handler, codec, timescale, duration_s, n_samples, n_bytes, the key frames' (offset, size,
-    time_s) and error.
+    time_s, when they are shown) and error.
 
-    A file that is cut, malformed, empty or without moov gives one row with ``error`` and
-    nulls; a null file one with error ``null``; a file without tracks gives one with error
+    A file that is cut, malformed in whatever way, empty or without moov gives one row with
+    ``error`` and nulls; a null file one with error ``null``; a file without tracks gives one with error
     ``no track``; a null id is kept; repeated rows give repeated results; an empty table an
     empty result. The duration is the media header's, or where that is 0, the end of the last
     sample. Only the id and the content are read, and of the content no payload."""
-    schema = pa.schema([("media_id", pa.int64()), ("track_id", pa.int32()), *[(c, pa.string()) for c in ("brand", "handler", "codec")], ("timescale", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_bytes", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("time_s", pa.float64())]))), ("error", pa.string())])
+    schema = pa.schema([("media_id", pa.int64()), ("track_id", pa.int64()), *[(c, pa.string()) for c in ("brand", "handler", "codec")], ("timescale", pa.int64()), ("duration_s", pa.float64()), ("n_samples", pa.int64()), ("n_bytes", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64()), ("time_s", pa.float64())]))), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,11 +322,11 @@ def tracks(media: DataFrame, *, id: str = "media_id", content: str = "content")
                     rows.append((media, None, None, None, None, None, None, None, None, why))
                     frames.append(None)
                     continue
-                for t, (at, size, time, key) in zip(found, parts, strict=True):
+                for t, (at, size, time, key, shown) in zip(found, parts, strict=True):
                     scale = t.timescale or 1
                     end = t.duration or (max(t.next_time, int(time.max())) if len(time) else 0)
                     rows.append((media, t.id, brand, t.handler, t.codec, t.timescale, end / scale, len(size), int(size.sum()), None))
-                    frames.append((at[key], size[key], time[key] / scale))
+                    frames.append((at[key], size[key], shown[key] / scale))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 10
             n = np.array([0 if f is None else len(f[0]) for f in frames], np.int64)
             flat = [np.concatenate([f[k] for f in frames if f is not None]) if n.any() else np.zeros(0) for k in range(3)]

@@ -4,8 +4,8 @@ Each tree splits space at random hyperplanes, at the median of a sample, down to
 Every vector belongs to one leaf of each tree. A query's branches of all trees wait in one
 priority queue, a branch's priority being the least margin on the way to it; the leaves that
 come out first are searched, and their members reranked by exact distance. Leaves are groups
-of a shuffle, in which queries and members meet; all members of a leaf are compared, in
-blocks if they are many.
+of a shuffle, in which queries and members meet; a leaf of many members is several groups,
+so that all of them are compared and none is large.
 """
 
 from __future__ import annotations
@@ -14,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textvec import U64, mix, ranges
+
 #: Members per leaf aimed at; leaves of a tree at most (so that the forest sent to the workers
-#: is bounded: TREES * MAX_LEAVES * dimensions * 4 bytes); members of a leaf that are compared
-#: at once.
-LEAF, MAX_LEAVES, LARGE = 2048, 2048, 16384
+#: is bounded: TREES * MAX_LEAVES * dimensions * 4 bytes); members of a leaf that one task
+#: compares, beyond which the leaf is split into blocks that each query of it visits.
+LEAF, MAX_LEAVES, LARGE = 2048, 16384, 16384
 TREES = 6
 #: Probes whose true neighbours decide how many leaves a query visits, and the share of these
 #: neighbours to be found.
 PROBES, TARGET = 256, 0.94
-#: Sampled vectors per leaf for fitting the splits.
-SAMPLE_PER_LEAF = 24
+#: Sampled vectors per leaf for fitting the splits, and in all at most.
+SAMPLE_PER_LEAF, MAX_SAMPLE = 24, 1 << 17
 
 
 class Forest:
@@ -92,9 +94,9 @@ class Forest:
         return np.argpartition(-priority, visits - 1, axis=1)[:, :visits]
 
 
-def nearest(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int, visits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances and ids (-1: none) of the k nearest members of each query, without
-    the member that has the query's id. Every member is compared, whatever ``visits`` is."""
+    the member that has the query's id. Every member is compared."""
     dist, found = _exact(queries, members[:LARGE], ids[:LARGE], own, k)
     for a in range(LARGE, len(members), LARGE):
         d, i = _exact(queries, members[a : a + LARGE], ids[a : a + LARGE], own, k)
@@ -134,9 +136,17 @@ def _exact(queries: np.ndarray, members: np.ndarray, ids: np.ndarray, own: np.nd
         d = ((members[at].astype(np.float64) - q[:, None]) ** 2).sum(2)
         d[np.isinf(np.take_along_axis(rough, at, 1))] = np.inf
         order = np.lexsort([ids[at], d])[:, :n]
-        d = np.take_along_axis(d, order, 1)
+        d, at = np.take_along_axis(d, order, 1), np.take_along_axis(at, order, 1)
+        if near < len(members):  # where more tie with the last than were looked at, look at them all
+            own2 = (q**2).sum(1)
+            reach = (d[:, -1] - own2) + 1e-5 * (own2 + norms.max() + 1)
+            for r in np.flatnonzero((rough <= reach[:, None]).sum(1) > near):
+                c = np.flatnonzero(rough[r] <= reach[r])
+                exact = ((members[c].astype(np.float64) - q[r]) ** 2).sum(1)
+                c = c[np.lexsort([ids[c], exact])[:n]]
+                at[r], d[r] = c, ((members[c].astype(np.float64) - q[r]) ** 2).sum(1)
         out_d[a : a + step, :n] = d
-        out_i[a : a + step, :n] = np.where(np.isinf(d), -1, ids[np.take_along_axis(at, order, 1)])
+        out_i[a : a + step, :n] = np.where(np.isinf(d), -1, ids[at])
     return out_d, out_i
 
 
@@ -172,19 +182,43 @@ def visits_needed(given: DataFrame, forest: Forest, probes: np.ndarray, probe_id
     return int(np.quantile(need, TARGET, method="higher")) if need else 1
 
 
+def block_counts(given: DataFrame, forest: Forest, dims: int, large: int) -> np.ndarray:
+    """Number of blocks of each leaf of each tree (tree * leaves + leaf), by its members."""
+    sent = given.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = sent.value
+        total = np.zeros(f.trees << f.depth, np.int64)
+        for b in batches:
+            x = _vectors(b.column(1), dims)
+            for a in range(0, len(x), 1024):
+                home = f.leaf(x[a : a + 1024]) + (np.arange(f.trees) << f.depth)[:, None]
+                total += np.bincount(home.ravel(), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    out = np.ones(forest.trees << forest.depth, np.int64)
+    members = given.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for r in members.where(F.col("n") > large).collect():  # TREES * MAX_LEAVES rows at most
+        out[r["cell"]] = -(-r["n"] // large)
+    return out
+
+
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
-def neighbours(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", k: int = 10, seed: int = 11) -> DataFrame:  # noqa: A002
-    """vec_id, neighbour_id, distance, rank: the k nearest others of every row of ``vectors``,
-    by Euclidean distance.
+def neighbours(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embedding", ask: Column | None = None, k: int = 10, seed: int = 11, large: int = LARGE) -> DataFrame:  # noqa: A002
+    """vec_id, neighbour_id, distance, rank: the k nearest others, among all rows of
+    ``vectors``, of the rows for which ``ask`` is true (every row, if it isn't given), by
+    Euclidean distance.
 
-    Every row is a query and a candidate. Rows with a null id, or whose vector is null, has
+    Rows with a null id, or whose vector is null, has
     a null or a value that isn't finite, or another length than most, are left out; rows that repeat
     an id are one vector; equal distances are ranked by id; with fewer than k others there
     are fewer rows; an empty table gives none. Only the id and the vector are read."""
-    given = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"))
+    asked = F.lit(True) if ask is None else F.coalesce(ask, F.lit(False))
+    given = vectors.select(F.col(id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("v"), asked.alias("ask"))
     fine = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < 1e18)"
     lengths = given.where(fine).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "vec_id long, neighbour_id long, distance double, rank int"
@@ -193,33 +227,42 @@ def neighbours(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embeddi
     dims, n = lengths["d"], lengths["n"]
     given = given.where(f"{fine} and size(v) = {dims}")
     depth = int(np.clip(np.ceil(np.log2(max(1, n / LEAF))), 0, np.log2(MAX_LEAVES)))
-    wanted = SAMPLE_PER_LEAF << depth
+    wanted = min(SAMPLE_PER_LEAF << depth, MAX_SAMPLE)
     share = min(1.0, 1.2 * wanted / n + 100 / n)
     # first by a hash, wherever they lie in the table; the bound on it only spares sorting
-    drawn = given.withColumn("hash", F.expr(f"shiftrightunsigned(xxhash64(vec_id, {seed}), 1)")).where(f"hash <= {int(share * (2**63 - 1))}")
+    drawn = given.select("vec_id", "v").withColumn("hash", F.expr(f"shiftrightunsigned(xxhash64(vec_id, {seed}), 1)")).where(f"hash <= {int(share * (2**63 - 1))}")
     rows = drawn.orderBy("hash", "vec_id", "v").limit(wanted).drop("hash").toArrow()
     order = np.argsort(rows.column(0).to_numpy(), kind="stable")
     sample = _vectors(rows.column(1).combine_chunks(), dims)[order] if len(rows) else np.zeros((0, dims), np.float32)
     forest = Forest(sample, depth, TREES, seed)
     probes = order[np.linspace(0, len(order) - 1, min(PROBES, len(order))).astype(int)] if len(order) else order
     probe_ids = rows.column(0).to_numpy()[probes]
-    visits = visits_needed(given, forest, _vectors(rows.column(1).combine_chunks(), dims)[probes], probe_ids, k)
-    sent = vectors.sparkSession.sparkContext.broadcast(forest)  # at most TREES * MAX_LEAVES hyperplanes
+    visits = visits_needed(given.select("vec_id", "v"), forest, _vectors(rows.column(1).combine_chunks(), dims)[probes], probe_ids, k)
+    blocks = block_counts(given.select("vec_id", "v"), forest, dims, large)
+    sent = vectors.sparkSession.sparkContext.broadcast((forest, blocks))  # at most TREES * MAX_LEAVES hyperplanes
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = sent.value
+        f, blocks = sent.value
         for b in batches:
             x = _vectors(b.column(1), dims)
+            ask = b.column(2).to_numpy(zero_copy_only=False)
             for a in range(0, len(x), 256):
                 part, ids = x[a : a + 256], b.column(0).slice(a, min(256, len(x) - a)).to_numpy()
                 raw = pa.array([r.tobytes() for r in part], pa.binary())
-                home = f.leaf(part) + (np.arange(f.trees) << f.depth)[:, None]
-                visit = f.search(part, visits).astype(np.int64)
-                who = np.arange(len(part))
-                cell = np.concatenate([home.ravel(), visit.ravel()])
-                row = np.concatenate([np.tile(who, f.trees), np.repeat(who, visit.shape[1])])
-                asks = np.concatenate([np.zeros(home.size, bool), np.ones(visit.size, bool)])
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(asks), pa.array(ids[row]), raw.take(pa.array(row))], names=["cell", "asks", "vec_id", "v"])
+                home = (f.leaf(part) + (np.arange(f.trees) << f.depth)[:, None]).ravel()
+                row = np.tile(np.arange(len(part)), f.trees)
+                block = (mix(ids[row].astype(U64)) % blocks[home].astype(U64)).astype(np.int64)
+                asks = np.flatnonzero(ask[a : a + 256])
+                if len(asks):
+                    visit = f.search(part[asks], visits).astype(np.int64)
+                    cell, who = visit.ravel(), np.repeat(asks, visit.shape[1])
+                    n = blocks[cell]
+                    row = np.concatenate([row, np.repeat(who, n)])
+                    block = np.concatenate([block, ranges(n)])
+                    own, home = len(home), np.concatenate([home, np.repeat(cell, n)])
+                else:
+                    own = len(home)
+                yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(block), pa.array(np.arange(len(home)) >= own), pa.array(ids[row]), raw.take(pa.array(row))], names=["cell", "block", "asks", "vec_id", "v"])
 
     def search(group: pa.Table) -> pa.Table:
         ids = group.column("vec_id").to_numpy()
@@ -230,7 +273,7 @@ def neighbours(vectors: DataFrame, *, id: str = "vec_id", vector: str = "embeddi
         d, i = nearest(x[asks][first_q], x[~asks][first], ids[~asks][first], q, k)
         return pa.table({"vec_id": q, "d": pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, d.astype(np.float64).ravel()), "i": pa.ListArray.from_arrays(np.arange(len(q) + 1, dtype=np.int32) * k, i.ravel())})
 
-    found = given.mapInArrow(place, "cell long, asks boolean, vec_id long, v binary").groupBy("cell").applyInArrow(search, "vec_id long, d array<double>, i array<long>")
+    found = given.mapInArrow(place, "cell long, block long, asks boolean, vec_id long, v binary").groupBy("cell", "block").applyInArrow(search, "vec_id long, d array<double>, i array<long>")
     pairs = found.select("vec_id", F.filter(F.arrays_zip("d", "i"), lambda x: x["i"] >= 0).alias("c"))
     best = pairs.groupBy("vec_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))), 1, k).alias("c"))
     return best.select("vec_id", F.posexplode("c").alias("p", "c")).select("vec_id", F.col("c.i").alias("neighbour_id"), F.sqrt("c.d").alias("distance"), (F.col("p") + 1).alias("rank"))

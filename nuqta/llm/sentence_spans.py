@@ -1,6 +1,10 @@
 """Sentence spans that repeat: every run of several consecutive sentences is hashed, equal
-hashes are joined globally, and a sentence goes if a repeated run that isn't the first of
-its kind covers it. All of it is built-in expressions."""
+hashes are joined globally, and sentences that a repeated run covers, other than the first of
+its kind, are removed. All of it is built-in expressions.
+
+A run that very many places share would be one group of the join. Such runs are found in a
+sample of the documents, which decides nothing but how their places are split: by a hash of
+the place into groups of bounded size, whose firsts are then compared."""
 
 from __future__ import annotations
 
@@ -10,21 +14,25 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name, small_batches
+
 #: A sentence with the marks that end it; the pieces of a text, joined, are the text.
 PIECE = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
+#: Runs that are compared: this many sentences, if they have this many characters together,
+#: so that a few stock words do not match.
+RUNS = tuple((run, 100) for run in range(2, 9))
+#: Share of documents in which shared runs are looked for; how often one must be in them; places
+#: in a group that are aimed at; and the shared runs at most (28 bytes each) that are handed out.
+SHARE, OFTEN, GROUP, MOST = 1 / 64, 32, 4096, 100_000
 
 
-def sentences(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the array ``s`` of its sentences, case-folded, single-spaced, trimmed, without
-    empty ones."""
-    pieces = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(PIECE), F.lit(0))
-    clean = F.transform(pieces, lambda p: F.trim(F.regexp_replace(p, r"[ \t\r\n.!?]+", " ")))
-    return docs.where(f"doc_id is not null and {text} is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.filter(clean, lambda s: s != "").alias("s"))
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-#: Runs that are compared: this many sentences, if they have this many characters together.
-#: A passage of short sentences may have few characters but has many sentences.
-RUNS = (*((run, 60) for run in range(2, 8)), (8, 0))
+def clean(piece: Column) -> Column:
+    """A sentence as it is compared: case-folded, single-spaced, without end marks."""
+    return F.trim(F.regexp_replace(F.lower(piece), r"[ \t\r\n.!?]+", " "))
 
 
 def _runs(run: int, least: int, lower: int | None) -> Column:
@@ -47,38 +55,91 @@ def _runs(run: int, least: int, lower: int | None) -> Column:
     return F.transform(F.filter(places, needed), span)
 
 
-def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS) -> DataFrame:
-    """doc_id, sentence, source_id: the document's ``sentence``-th sentence (from 0) lies in
-    a run of sentences that occurs before, first in document source_id (the least of these,
-    if several runs cover it).
+def spans(docs: DataFrame, runs: tuple[tuple[int, int], ...]) -> DataFrame:
+    """doc_id, h, pos, run, a, b: the runs of sentences of ``docs`` (doc_id, h, text)."""
+    s = docs.select("doc_id", "h", F.filter(F.transform(pieces(F.col("text")), clean), lambda x: x != "").alias("s"))
+    # two hashes of each sentence, and of a run those of its sentences' hashes: 128 bits
+    s = s.select("doc_id", "h", F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("s"), F.transform("s", F.length).alias("n"))
+    return s.select("doc_id", "h", F.explode(F.concat(*[_runs(run, least, dict(runs).get(run - 1)) for run, least in runs])).alias("x")).select("doc_id", "h", "x.*")
+
+
+def repeated_runs(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS, often: int = OFTEN, share: float = SHARE, group: int = GROUP) -> DataFrame:
+    """doc_id, h, pos, run: the runs of sentences of ``docs`` (doc_id, h, text) that occur at
+    an earlier place, by (doc_id, h, pos)."""
+    key = ["run", "a", "b"]
+    every = spans(docs, runs)
+    shared = spans(docs.sample(share, 17), runs).groupBy(*key).count().where(F.col("count") >= often)
+    shared = shared.select(*key, (F.ceil(F.col("count") / (share * group)) + 1).cast("int").alias("salts"), "count").orderBy(F.desc("count"), *key).limit(MOST).drop("count")
+    shared = docs.sparkSession.createDataFrame(shared.toArrow())  # MOST rows at most
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id", "h", "pos"), F.col("salts")) + 1).otherwise(0)
+    placed = every.join(F.broadcast(shared), key, "left").withColumn("salt", salt)
+    place = F.struct("doc_id", "h", "pos")
+    groups = placed.groupBy(*key, "salt").agg(F.min(place).alias("first"), F.collect_list(place).alias("all"), F.max("salt").alias("split"))
+    later = groups.where(F.size("all") > 1).select("run", "first", F.explode("all").alias("x")).where(F.col("x") != F.col("first")).select("run", "x")
+    # the firsts of a split run's groups, but for the first of all
+    firsts = groups.where("split > 0").select(*key, "first")
+    least = firsts.groupBy(*key).agg(F.min("first").alias("least"))
+    others = firsts.join(least, key).where(F.col("first") != F.col("least")).select("run", F.col("first").alias("x"))
+    return later.unionByName(others).select("x.doc_id", "x.h", "x.pos", "run")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
+
+
+def _without(text: Column, spans: Column) -> tuple[Column, Column]:
+    """The text without the sentences that ``spans`` (array of pos and run) cover, and their
+    number."""
+    every = pieces(text)
+    real = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: clean(F.get(every, i)) != "")
+    gone = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.slice(real, x["pos"] + 1, x["run"]))))
+    return F.array_join(F.filter(every, lambda _, i: ~F.array_contains(gone, i)), ""), F.size(gone)
+
+
+def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS, **split: float) -> DataFrame:
+    """doc_id, removed, text: every document that loses sentences, how many, and what is left
+    of its text. A sentence goes if a run of sentences that occurs before covers it.
 
     ``runs`` gives the lengths of runs and the characters that a run must have, single spaces
-    between sentences counted, so that a few stock words do not match. The first of equal runs
-    is the least by (doc_id, place). Texts with fewer sentences, empty and null texts and rows
-    with a null doc_id have no run; rows that repeat a doc_id and its text are one document;
+    between sentences counted. The first of equal runs is the least by (doc_id, place), and
+    stays. Texts with fewer sentences, empty and null texts and rows with a null doc_id lose
+    nothing; rows that repeat a doc_id and its text are one document, whose rows lose the
+    same; texts that share a doc_id are documents of their own, in the order of their hashes;
     runs may repeat within a document; an empty table gives no row. Only doc_id and text are
     read."""
-    s = sentences(docs)
-    # two hashes of each sentence, and of a run those of its sentences' hashes: 128 bits
-    s = s.select("doc_id", F.transform("s", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("s"), F.transform("s", F.length).alias("n"))
-    spans = s.select("doc_id", F.explode(F.concat(*[_runs(run, least, dict(runs).get(run - 1)) for run, least in runs])).alias("x")).select("doc_id", "x.pos", "x.run", "x.a", "x.b")
-    groups = spans.groupBy("run", "a", "b").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.collect_list(F.struct("doc_id", "pos")).alias("all")).where(F.size("all") > 1)
-    later = groups.select("run", "first", F.explode("all").alias("x")).where(F.col("x") != F.col("first")).select("run", F.col("x.doc_id").alias("doc_id"), F.col("x.pos").alias("pos"), F.col("first.doc_id").alias("source_id"))
-    covered = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("run") - 1)).alias("sentence"), "source_id")
-    return covered.groupBy("doc_id", "sentence").agg(F.min("source_id").alias("source_id"))
+    given = _hashed(docs)
+    lists = repeated_runs(given, runs, **split).groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "run")).alias("spans"))
+    text, removed = _without(F.col("text"), F.col("spans"))
+    return given.join(lists, ["doc_id", "h"]).select("doc_id", removed.alias("removed"), text.alias("text"))
+
+
+def remove_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS, **split: float) -> DataFrame:
+    """``docs`` without the sentences that ``repeated_sentences`` removes: all rows and
+    columns, whatever their names, n_chars being that of the new text. Edges are as there."""
+    names = docs.columns
+    lists = repeated_runs(_hashed(docs), runs, **split).groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "run")).alias("spans"))
+    mine, id_, h, found = docs, *(free_name(docs, x) for x in ("of_id", "of_hash", "of_spans"))
+    lists = lists.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("spans").alias(found))
+    both = mine.join(lists, (mine["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(mine["text"].cast("string")) == F.col(h)), "left")
+    left = _without(F.col("text").cast("string"), F.col(found))[0]
+    text = F.when(F.col(found).isNotNull(), left).otherwise(F.col("text"))
+    new = {"text": text} | ({"n_chars": F.when(F.col(found).isNotNull(), F.length(left)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return both.select(*[new[c].alias(c) if c in new else mine[c] for c in names])
 
 
 def repeated_sentences_sql(runs: tuple[tuple[int, int], ...] = RUNS) -> str:
-    """The same in DuckDB's SQL, which compares the runs' texts."""
+    """``repeated_sentences`` in DuckDB's SQL, which compares the runs' texts."""
     joined = lambda run: " || ' ' || ".join(f"s[i + {k}]" for k in range(run))
-    tiers = " union all ".join(f"select doc_id, i - 1 as pos, {run} as run, {joined(run)} as t from (select doc_id, s, unnest(range(1, len(s) - {run} + 2)) as i from pieces where len(s) >= {run}) where length({joined(run)}) >= {least}" for run, least in runs)
+    tiers = " union all ".join(f"select k, i - 1 as pos, {run} as run, {joined(run)} as t from (select k, s, unnest(range(1, len(s) - {run} + 2)) as i from real where len(s) >= {run}) where length({joined(run)}) >= {least}" for run, least in runs)
     return rf"""
-with pieces as (
-  select doc_id, list_filter(list_transform(regexp_extract_all(lower(text), '[^.!?\n]+[.!?\n]*|[.!?\n]+'),
-      lambda p: trim(regexp_replace(p, '[ \t\r\n.!?]+', ' ', 'g'), ' ')), lambda p: p <> '') as s
-  from documents where doc_id is not null and text is not null),
+with given as (select doc_id, text, row_number() over (order by doc_id, text) as k from (select distinct doc_id, text from documents where doc_id is not null and text is not null)),
+pieces as (select k, regexp_extract_all(text, '[^.!?\n]+[.!?\n]*|[.!?\n]+') as p from given),
+cleaned as (select k, p, list_transform(p, lambda x: trim(regexp_replace(lower(x), '[ \t\r\n.!?]+', ' ', 'g'), ' ')) as c from pieces),
+real as (select k, p, list_filter(c, lambda x: x <> '') as s, list_filter(range(1, len(c) + 1), lambda j: c[j] <> '') as places from cleaned),
 spans as ({tiers}),
-firsts as (select run, t, min(struct_pack(d := doc_id, p := pos)) as f from spans group by run, t having count(*) > 1),
-later as (select doc_id, run, pos, f.d as source_id from spans join firsts using (run, t) where doc_id <> f.d or pos <> f.p)
-select doc_id, cast(sentence as integer) as sentence, min(source_id) as source_id
-from (select doc_id, unnest(range(pos, pos + run)) as sentence, source_id from later) group by all"""
+firsts as (select run, t, min(struct_pack(k := k, p := pos)) as f from spans group by run, t having count(*) > 1),
+later as (select k, run, pos from spans join firsts using (run, t) where k <> f.k or pos <> f.p),
+gone as (select k, list(distinct places[i + 1]) as g from (select k, unnest(range(pos, pos + run)) as i from later) join real using (k) group by k)
+select g.doc_id, cast(len(g_.g) as integer) as removed, array_to_string(list_transform(list_filter(range(1, len(p) + 1), lambda j: not list_contains(g_.g, j)), lambda j: p[j]), '') as text
+from gone g_ join real using (k) join given g using (k) join documents d on d.doc_id = g.doc_id and d.text = g.text"""

@@ -81,7 +81,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of a chunk: a little under a power of two, the size of the tables kept for it.
-CHUNK = (1 << 20) - 16
+CHUNK = (1 << 19) - 16
 
 
 def chunks(offsets: np.ndarray, target: int = CHUNK) -> Iterator[tuple[int, int]]:

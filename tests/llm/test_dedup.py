@@ -222,44 +222,65 @@ def test_remove_passages(spark):
     assert bwt_dedup.remove_passages(again).count() == len(edges.ROWS)
 
 
-def test_sentences_against_sql(spark):
-    rng = random.Random(8)
+def sentence_rows(rng, n):
     sentence = lambda: " ".join(prose(rng, rng.randrange(1, 9))).capitalize() + rng.choice([". ", "! ", "?\n", ".\n\n", "..."])
-    shared = ["".join(sentence() for _ in range(5)) for _ in range(6)]
-    rows = [(i, "".join(rng.choice([sentence(), rng.choice(shared)]) for _ in range(rng.randrange(8)))) for i in range(80)]
+    shared = ["".join(sentence() for _ in range(rng.randrange(3, 9))) for _ in range(6)]
+    return [(i, "".join(rng.choice([sentence(), rng.choice(shared)]) for _ in range(rng.randrange(8)))) for i in range(n)]
+
+
+def test_sentences_against_sql(spark):
+    rows = sentence_rows(random.Random(8), 80)
     rows += [r[:2] for r in edges.ROWS if r[0] != 12] + [(90, "One two. " * 30), (91, "A. B. C. D. A. B. C. D.")]
     df = edges.docs(spark, rows)
-    got = sorted(tuple(r) for r in sentence_spans.repeated_sentences(df).collect())
     documents = df.select("doc_id", "text").toPandas()  # noqa: F841
-    want = duckdb.sql(sentence_spans.repeated_sentences_sql()).fetchall()
-    assert got == sorted(want) and got
+    want = sorted(duckdb.sql(sentence_spans.repeated_sentences_sql()).fetchall())
+    got = sorted(tuple(r) for r in sentence_spans.repeated_sentences(df).collect())
+    assert got == want and got
+    # runs that many places share are split into groups, with the same result
+    for group in (1, 5, 4096):
+        assert sorted(tuple(r) for r in sentence_spans.repeated_sentences(df, often=2, share=1.0, group=group).collect()) == want
     assert sentence_spans.repeated_sentences(df.where("false")).collect() == []
 
 
-def sentences_by_brute_force(rows):
-    """All runs of 2 to 8 sentences with 60 characters or more, and all of eight."""
+def test_remove_sentences(spark):
+    df = edges.docs(spark, [(1000 + i, t) for i, t in sentence_rows(random.Random(18), 60)] + edges.ROWS)
+    changed = {r.doc_id: r.text for r in sentence_spans.repeated_sentences(df).collect()}
+    out = sentence_spans.remove_sentences(df)
+    assert out.columns == df.columns
+    whole = sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    got = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+    assert got == sorted((i, changed.get(i, t)) for i, t in whole) and got != whole
+    assert all(r.n_chars == len(r.text) for r in out.where("text is not null").collect())
+    assert sentence_spans.remove_sentences(df.where("false")).collect() == []
+    two = [(1, "".join(f"Sentence {k} of a passage that is long enough to be found. " for k in range(4))), (2, "Own words. "), (2, "")]
+    two.append((2, two[0][1]))  # texts that share an id
+    left = sorted((r.doc_id, r.text) for r in sentence_spans.remove_sentences(edges.docs(spark, two)).collect())
+    assert left == sorted([two[0], two[1], (2, ""), (2, "")])
+
+
+def removed_by_brute_force(rows):
+    """All runs of 2 to 8 sentences with 100 characters or more."""
     seen = defaultdict(set)
     for i, s in rows:
         for run in range(2, 9):
             for p in range(len(s) - run + 1):
                 t = " ".join(s[p : p + run])
-                if len(t) >= 60 or run == 8:
+                if len(t) >= 100:
                     seen[run, t].add((i, p))
-    out = {}
+    gone = defaultdict(set)
     for (run, _), places in seen.items():
-        first = min(places)
-        for i, p in places - {first}:
-            for k in range(p, p + run):
-                out[i, k] = min(out.get((i, k), first[0]), first[0])
-    return out
+        for i, p in places - {min(places)}:
+            gone[i] |= set(range(p, p + run))
+    return {i: "".join((" " if k else "") + x + "." for k, x in enumerate(s) if k not in gone[i]) + " " for i, s in rows if gone[i]}
 
 
 def test_sentences_of_every_run_length(spark):
     rng = random.Random(9)
-    one = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randrange(1, 6)))
+    one = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(rng.randrange(2, 12)))
     shared = [[one() for _ in range(n)] for n in range(2, 10) for _ in range(4)]
     rows = [(i, [s for _ in range(4) for s in (rng.choice(shared) if rng.random() < 0.6 else [one(), one()])]) for i in range(80)]
-    rows += [(90, [f"short one {k}" for k in range(6)]), (91, [f"short one {k}" for k in range(6)]), (92, ["a", "b"] * 9)]
+    five = [f"one of five short sentences {k}" for k in range(5)]
+    rows += [(90, five), (91, five), (92, ["a", "b"] * 9)]
     got = sentence_spans.repeated_sentences(edges.docs(spark, [(i, "".join(x + ". " for x in s)) for i, s in rows])).collect()
-    assert {(r.doc_id, r.sentence): r.source_id for r in got} == sentences_by_brute_force(rows)
-    assert {r.sentence for r in got if r.doc_id == 91} == set(range(6))
+    assert {r.doc_id: r.text for r in got} == removed_by_brute_force(rows)
+    assert {r.doc_id: r.text for r in got}[91] == " "

@@ -1,6 +1,7 @@
 """Language identification, quality, packing, sharding and neighbours."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -8,8 +9,9 @@ import duckdb
 import edges
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from nuqta.llm import hash_tree, kneser_ney, language_id, packing, rp_forest
+from nuqta.llm import hash_tree, kneser_ney, language_id, packing, queries, rp_forest
 from nuqta.llm.textvec import words_of
 
 SF = "/root/testdata/sf0.001"
@@ -264,14 +266,19 @@ def test_neighbours_recall(spark, leaf, monkeypatch):
     assert recall == 1 if leaf > 900 else recall >= 0.9
 
 
-def test_large_leaves_have_their_own_forest(monkeypatch):
-    monkeypatch.setattr(rp_forest, "LARGE", 200)
-    monkeypatch.setattr(rp_forest, "LEAF", 50)
+def test_asked_neighbours_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(rp_forest, "LEAF", 64)
     rng = np.random.default_rng(8)
-    x = rng.standard_normal((600, 8)).astype(np.float32)
-    _, found = rp_forest.nearest(x, x, np.arange(600), np.arange(600), 5, 40)
-    want = neighbours_by_brute_force(x.astype(float), np.arange(600), 5)
-    assert sum(len(set(want[i]) & set(found[i].tolist())) for i in range(600)) / 3000 > 0.9
+    x = (rng.standard_normal((12, 16))[rng.integers(0, 12, 900)] + 0.4 * rng.standard_normal((900, 16))).astype(np.float32)
+    x[100:400] = x[100]  # a third of all vectors is one
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = {large: sorted(tuple(r) for r in rp_forest.neighbours(df, ask=F.col("vec_id") % 20 == 0, large=large).collect()) for large in (rp_forest.LARGE, 30)}
+    assert rows[30] == rows[rp_forest.LARGE]  # blocks of a leaf lose nothing
+    want, got = neighbours_by_brute_force(x.astype(float), np.arange(900), 10), defaultdict(list)
+    for i, j, *_ in rows[30]:
+        got[i].append(j)
+    assert set(got) == set(range(0, 900, 20)) and all(len(v) == 10 for v in got.values())
+    assert sum(len(set(want[i]) & set(got[i])) for i in got) / (10 * len(got)) >= 0.9
 
 
 def test_large_leaves_lose_no_neighbour(monkeypatch):
@@ -279,7 +286,7 @@ def test_large_leaves_lose_no_neighbour(monkeypatch):
     monkeypatch.setattr(rp_forest, "LEAF", 50)
     x = np.random.default_rng(9).standard_normal((650, 8)).astype(np.float32)
     x[300:310] = x[5]
-    _, found = rp_forest.nearest(x, x, np.arange(650), np.arange(650), 5, 1)
+    _, found = rp_forest.nearest(x, x, np.arange(650), np.arange(650), 5)
     assert {i: f.tolist() for i, f in enumerate(found)} == neighbours_by_brute_force(x.astype(float), np.arange(650), 5)
 
 
@@ -303,3 +310,81 @@ def test_neighbours_edges(spark):
     got = sorted((r.vec_id, r["rank"], r.neighbour_id, r.distance) for r in rp_forest.neighbours(df).collect())
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 3, 0.0), (2, 2, 1, 1.0), (3, 1, 2, 0.0), (3, 2, 1, 1.0)]
     assert rp_forest.neighbours(df.where("false")).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.01")), reason="no tables")
+def test_registered_neighbours_recall(spark):
+    """op10 on the whole table of vectors, against brute force."""
+    sf = SF.replace("0.001", "0.01")
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    got = defaultdict(set)
+    for r in queries.op10_neighbours(spark, sf).collect():
+        got[r.vec_id].add(r.neighbour_id)
+    assert set(got) == {i for i in ids.tolist() if i % 20 == 0}
+    want = neighbours_by_brute_force(x, ids, 10)
+    assert sum(len(set(want[i]) & got[i]) for i in got) / (10 * len(got)) >= 0.9
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(3)
+    f, d = language_id.FILTERS, language_id.DIM
+    p = {"emb": rng.standard_normal((256, d)), "out": rng.standard_normal((3 * f, 4)), "out_bias": rng.standard_normal(4)}
+    for w in language_id.WIDTHS:
+        p[f"k{w}"], p[f"b{w}"] = rng.standard_normal((w * d, f)) * 0.3, rng.standard_normal(f)
+    x, y = rng.integers(0, 256, (5, language_id.WINDOW)), rng.integers(0, 4, 5)
+
+    def loss():
+        h = []
+        for w in language_id.WIDTHS:
+            e = p["emb"][x]
+            z = sum(e[:, j : language_id.WINDOW - w + 1 + j] @ p[f"k{w}"][j * d : (j + 1) * d] for j in range(w)) + p[f"b{w}"]
+            h.append(np.maximum(z.max(1), 0))
+        return -np.log(language_id.softmax(np.concatenate(h, 1) @ p["out"] + p["out_bias"])[np.arange(5), y]).mean()
+
+    for name, grad in language_id._grads(p, x, y).items():
+        some = np.argwhere(np.abs(grad) > 1e-4)
+        for at in map(tuple, some[rng.integers(0, len(some), 6)]):
+            before = p[name][at]
+            p[name][at] = before + 1e-5
+            up = loss()
+            p[name][at] = before - 1e-5
+            down = loss()
+            p[name][at] = before
+            assert grad[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_trained_on_a_bounded_draw_of_a_sorted_table(spark):
+    """A table sorted by language: the draw of ``train`` learns them all, as one run after another does."""
+    rng = random.Random(12)
+    rows = [(i, text(rng, x, rng.randrange(20, 60)), x) for i, x in enumerate(sorted(rng.choice(list(SYLLABLES)) for _ in range(600)))]
+    df = edges.docs(spark, rows).repartition(6, "lang")
+    net = language_id.train(df, fit_rows=90)
+    out = {r.doc_id: r.language for r in language_id.identify(df, net).collect()}
+    assert net.labels == ["aa", "bb", "cc", "und"] and sum(out[i] == x for i, _, x in rows) >= 0.95 * len(rows)
+    assert all(np.array_equal(a, b) for a, b in ((net.emb, language_id.train(df, fit_rows=90).emb),))
+
+
+def test_accepted_by_brute_force(spark):
+    """Thresholds and decisions, from models of either half counted in plain Python."""
+    rng = random.Random(14)
+    rows = [(i, text(rng, "aa" if i % 2 else "cc", rng.randrange(5, 40)) + (" §§ ¤¤ µµ" if i % 11 == 0 else ""), "aa" if i % 2 else "cc") for i in range(90)]
+    df = edges.docs(spark, [*rows, (200, text(rng, "bb", 20), "bb"), (201, "", "aa"), (202, None, "cc"), (203, text(rng, "aa", 30), None)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    fold = {r.doc_id: r.m for r in df.where("doc_id < 60").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("m")).collect()}
+    texts = {i: (t, x) for i, t, x in rows}
+    of = [kn_by_brute_force([texts[i][0] for i in sorted(fold) if fold[i] == m])[0] for m in (0, 1)]
+    whole = kn_by_brute_force([texts[i][0] for i in sorted(fold)])[0]
+    held = {i: (-of[1 - fold[i]](texts[i][0]), len(texts[i][0].encode()), texts[i][1]) for i in fold}
+    ratio = lambda v: sum(x[0] for x in v) / sum(x[1] for x in v)
+    mean = {x: ratio([v for v in held.values() if v[2] == x]) for x in ("aa", "cc")} | {None: ratio(list(held.values()))}
+    ppl = lambda nll, n, x: math.exp((nll + 300 * mean.get(x, mean[None])) / (n + 300))
+    quantile = lambda v: sorted(v)[math.ceil(0.985 * len(v)) - 1]
+    limit = {x: quantile([ppl(*v) for v in held.values() if v[2] == x]) for x in ("aa", "cc")} | {None: quantile([ppl(*v) for v in held.values()])}
+    got = {r.doc_id: r for r in kneser_ney.assess(df, kneser_ney.train(df, labels)).collect()}
+    for r in df.collect():
+        n = len((r.text or "").encode())
+        x = ppl(-whole(r.text or ""), n, r.lang)
+        assert got[r.doc_id].perplexity == pytest.approx(x, rel=1e-3) and got[r.doc_id].threshold == pytest.approx(limit.get(r.lang, limit[None]), rel=1e-3)
+        if abs(x / limit.get(r.lang, limit[None]) - 1) > 2e-3:
+            assert got[r.doc_id].accepted == (n > 0 and x <= limit.get(r.lang, limit[None]))

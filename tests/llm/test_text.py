@@ -105,28 +105,98 @@ def test_media_ranges_give_the_payload(wide, fragmented, n):
     payload = np.random.default_rng(n).integers(0, 256, n, np.uint8).tobytes()
     f = iso_media.mux(payload, wide=wide, fragmented=fragmented, every=5)
     brand, tracks = iso_media.parse(f)
-    at, size, time, key = tracks[0].samples()
+    at, size, time, key, shown = tracks[0].samples()
     assert brand == "isom" and tracks[0].codec == "avc1.64001f"
     assert b"".join(f[a : a + s] for a, s in zip(at, size, strict=True)) == payload
     assert np.flatnonzero(key).tolist() == list(range(0, len(size), 5))
-    assert time.tolist() == [512 * k for k in range(len(size))]
+    assert time.tolist() == shown.tolist() == [512 * k for k in range(len(size))]
     if not fragmented:
-        at, size, _, key = tracks[1].samples()
+        at, size, _, key, _ = tracks[1].samples()
         assert tracks[1].handler == "soun" and key.all()
         assert b"".join(f[a : a + s] for a, s in zip(at, size, strict=True)) == payload[: n // 64 * 64]
 
 
+def atom(kind, *body):
+    data = b"".join(body)
+    return (8 + len(data)).to_bytes(4, "big") + kind + data
+
+
+def u32(*values):
+    return b"".join((v % 2**32).to_bytes(4, "big") for v in values)
+
+
+def by_hand(stbl, *, timescale=1000, number=7, extra=b""):
+    """A file whose boxes have version-1 headers, written without the library's own writer."""
+    long = lambda *v: b"".join(x.to_bytes(8, "big") for x in v)
+    tkhd = atom(b"tkhd", u32(1 << 24), long(0, 0), u32(number, 0), long(5000), bytes(60))
+    mdhd = atom(b"mdhd", u32(1 << 24), long(0, 0), u32(timescale), long(5000), bytes(4))
+    hdlr = atom(b"hdlr", u32(0, 0), b"vide", bytes(13))
+    stsd = atom(b"stsd", u32(0, 1), atom(b"hvc1", bytes(78)))
+    uuid = atom(b"uuid", bytes(range(16)), b"whatever")
+    trak = atom(b"trak", tkhd, uuid, atom(b"mdia", mdhd, hdlr, atom(b"minf", atom(b"stbl", stsd, *stbl))))
+    return atom(b"ftyp", b"mp42", u32(0)) + atom(b"moov", trak, extra)
+
+
+def tables_by_hand(places=(100, 200)):
+    return [
+        atom(b"stts", u32(0, 1, 5, 40)),
+        atom(b"ctts", u32(1 << 24, 2, 1, 80, 1, -20)),
+        atom(b"stss", u32(0, 2, 1, 2)),
+        atom(b"stsc", u32(0, 2, 1, 3, 1, 2, 2, 1)),
+        atom(b"stz2", u32(0, 4, 5), bytes([0x12, 0x34, 0x50])),
+        atom(b"stco", u32(0, len(places), *places)),
+    ]
+
+
+def test_media_by_hand():
+    brand, (t,) = iso_media.parse(by_hand(tables_by_hand()))
+    at, size, time, key, shown = (x.tolist() for x in t.samples())
+    assert (brand, t.id, t.handler, t.codec, t.timescale, t.duration) == ("mp42", 7, "vide", "hvc1", 1000, 5000)
+    assert size == [1, 2, 3, 4, 5] and at == [100, 101, 103, 200, 204]
+    assert time == [0, 40, 80, 120, 160] and shown == [80, 20, 80, 120, 160] and key == [True, True, False, False, False]
+    # fragments: durations, sizes and flags from trex, then from tfhd; signed composition offsets
+    trex = atom(b"mvex", atom(b"trex", u32(0, 7, 1, 20, 6, 0x10000)))
+    first = atom(b"moof", atom(b"traf", atom(b"tfhd", u32(0, 7)), atom(b"trun", u32(0x5, 2, 1000, 0))))
+    second = atom(b"moof", atom(b"traf", atom(b"tfhd", u32(0x38, 7, 5, 9, 0)), atom(b"tfdt", u32(1 << 24, 0, 700)), atom(b"trun", u32(0x1000801, 2, -4, -3, 4))))
+    _, (t,) = iso_media.parse(by_hand([], extra=trex) + first + second)
+    at, size, time, key, shown = (x.tolist() for x in t.samples())
+    head = len(by_hand([], extra=trex))
+    assert size == [6, 6, 9, 9] and time == [0, 20, 700, 705] and shown == [0, 20, 697, 709]
+    assert at == [head + 1000, head + 1006, head + len(first) - 4, head + len(first) + 5] and key == [True, False, True, True]
+
+
 def test_media_damage_is_reported():
-    f = iso_media.mux(bytes(3000), every=3)
+    """Whatever is wrong with a file is a Malformed and no other exception: cut boxes, empty
+    ones, and bytes at their extremes."""
+    fragments = iso_media.mux(bytes(900), every=3, sample=100, fragmented=True)
+    empty = [atom(b"moov", atom(b"trak", atom(k))) for k in (b"tkhd", b"edts")]
+    empty += [atom(b"moov", atom(b"trak", atom(b"mdia", atom(k)))) for k in (b"mdhd", b"hdlr")] + [by_hand([atom(k)]) for k in (b"stsd", b"stts", b"stsz", b"stz2", b"stco", b"co64", b"ctts")]
+    empty += [fragments + atom(b"moof", atom(b"traf", atom(k))) for k in (b"tfhd", b"tfdt", b"trun")]
+    nested = b""
+    for _ in range(5000):
+        nested = atom(b"mdia", nested)
+    files = [iso_media.mux(bytes(300), every=3, sample=40), iso_media.mux(bytes(300), every=3, sample=40, wide=True), fragments, by_hand(tables_by_hand()), *empty]
     rng = random.Random(5)
-    for k in range(400):
-        g = bytearray(f)
-        for _ in range(rng.randrange(1, 6)):
-            g[rng.randrange(len(g) - 3000)] = rng.randrange(256)
+
+    def read(data):
         try:
-            [t.samples() for t in iso_media.parse(bytes(g[: rng.randrange(len(g))] if k % 3 == 0 else g))[1]]
+            for t in iso_media.parse(data)[1]:
+                for x in t.samples():
+                    assert len(x) <= 8 * len(data)
         except iso_media.Malformed:
-            pass
+            return 1
+        return 0
+
+    assert all(read(f) for f in empty if b"edts" not in f) and read(atom(b"moov", atom(b"trak", nested)))
+    damaged = 0
+    for k in range(20000):
+        g = bytearray(files[k % len(files)])
+        for _ in range(rng.randrange(1, 6)):
+            n = rng.choice([1, 1, 4, 8])
+            at = rng.randrange(max(1, len(g) - n))
+            g[at : at + n] = rng.choice([bytes(n), b"\xff" * n, b"\x7f" + b"\xff" * (n - 1), rng.randbytes(n)])
+        damaged += read(bytes(g[: rng.randrange(len(g) + 1)] if k % 5 == 0 else g))
+    assert damaged > 5000
 
 
 def test_media_tables(spark):
