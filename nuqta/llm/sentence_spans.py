@@ -122,10 +122,11 @@ def remove_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUN
     mine, id_, h, found = docs, *(free_name(docs, x) for x in ("of_id", "of_hash", "of_spans"))
     lists = lists.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("spans").alias(found))
     both = mine.join(lists, (mine["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(mine["text"].cast("string")) == F.col(h)), "left")
-    left = _without(F.col("text").cast("string"), F.col(found))[0]
-    text = F.when(F.col(found).isNotNull(), left).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col(found).isNotNull(), F.length(left)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return both.select(*[new[c].alias(c) if c in new else mine[c] for c in names])
+    text = F.when(F.col(found).isNotNull(), _without(F.col("text").cast("string"), F.col(found))[0]).otherwise(F.col("text"))
+    cut = both.select(*[text.alias(c) if c == "text" else mine[c] for c in names], found)
+    if "n_chars" in names:  # of the text as it is now
+        cut = cut.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.select(*names)
 
 
 def repeated_sentences_sql(runs: tuple[tuple[int, int], ...] = RUNS) -> str:
