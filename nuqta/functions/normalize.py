@@ -37,9 +37,8 @@ def normalize_arabic(c: Column | str) -> Column:
     folded, only letters, hyphens and single white space left. Null and '' give ''.
 
     Composition (NFC) is not needed: what it could join is removed before it."""
-    x = F.regexp_replace(remove_tashkeel(text_or_empty(c)), "[\\u0670\\u0640]", "")
-    x = F.translate(x, FOLD_FROM, FOLD_TO)
-    x = F.regexp_replace(x, "[\\r\\n]+", " ")
+    # tatweel, which has no counterpart, goes; marks are not among what is left
+    x = F.translate(text_or_empty(c), FOLD_FROM + "\r\nـ", FOLD_TO + "  ")
     x = F.regexp_replace(x, f"[^{LETTERS}{WS}-]+", "")
     return trim_ws(F.regexp_replace(x, f"[{WS}]{{2,}}", " "))
 

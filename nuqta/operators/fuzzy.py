@@ -24,6 +24,10 @@ class FuzzyOptions:
     strict: float = 0.35
 
 
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def substring_distances(tokens: list[str], words: list[str]) -> np.ndarray:
     """Distance for each pair, all pairs at once: a column of the dynamic program a step of
     the words."""
@@ -37,10 +41,9 @@ def substring_distances(tokens: list[str], words: list[str]) -> np.ndarray:
         at = at[np.argsort(size_w[at], kind="stable")]
         for part in np.array_split(at, max(1, len(at) // 4096)):
             wide = int(size_w[part].max()) if len(part) else 0
-            t = np.array([[ord(c) for c in tokens[i]] for i in part], np.uint32).reshape(len(part), m)
+            t = code_points([tokens[i] for i in part]).reshape(len(part), m)
             w = np.zeros((len(part), wide), np.uint32)
-            for row, i in enumerate(part):
-                w[row, : size_w[i]] = [ord(c) for c in words[i]]
+            w[np.arange(wide) < size_w[part, None]] = code_points([words[i] for i in part])
             col = np.tile(np.arange(m + 1, dtype=np.int32), (len(part), 1))
             best = col[:, m].copy()
             for j in range(wide):
@@ -69,11 +72,23 @@ def native_distance(token: Column, word: Column) -> Column:
     return F.array_min(each)
 
 
+def letters(c: str) -> Column:
+    """A 64-bit set of the code points in a text, modulo 64."""
+    one = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x).bitwiseAND(63))
+    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.when(x == "", F.lit(0).cast("long")).otherwise(one(x))))
+
+
 def fuzzy_words(tokens: DataFrame, words: DataFrame, options: FuzzyOptions) -> DataFrame:
-    """token, word, score: of every token with the words near enough. Words much shorter than
-    the token are passed over: their distance is at least the difference."""
-    pairs = tokens.where(F.length("token") >= options.min_length).crossJoin(words)
-    pairs = pairs.where(F.length("word") >= F.length("token") * (1 - options.threshold))
+    """token, word, score: of every token with the words near enough. The tokens are a set of
+    queries that is held against the whole vocabulary: at half its length in edits, a token
+    has no part that a near word must share. Pairs are passed over on bounds of the
+    distance, before any Python: a word's letters that are too few, or letters of the token
+    that the word lacks, each of which is an edit."""
+    t = tokens.where(F.length("token") >= options.min_length).withColumn("_t", letters("token"))
+    w = words.withColumn("_w", letters("word"))
+    edits = F.length("token") * options.threshold
+    lacking = F.bit_count(F.col("_t").bitwiseAND(F.bitwise_not(F.col("_w"))))
+    pairs = t.join(w, (F.length("word") >= F.length("token") - edits) & (lacking <= edits))
     scored = pairs.select("token", "word", (substring_distance("token", "word") / F.length("token")).alias("score"))
     return scored.where(F.col("score") <= options.threshold)
 

@@ -3,6 +3,8 @@ matches, and which verses match all tokens of a query."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,24 @@ from .corpus import Corpus
 from .fuzzy import FuzzyOptions, adaptive_cutoff, fuzzy_words
 
 
+#: Rows that a single search fetches between its steps; larger steps stay in the plan.
+SETTLED = 10_000
+#: Letters of a token by which it is looked up in the vocabulary.
+GRAM = 3
+Settle = Callable[[DataFrame], DataFrame]
+
+
+def lazily(df: DataFrame) -> DataFrame:
+    return df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a local table, which joins without a shuffle, if it has at most SETTLED rows;
+    otherwise ``df`` as it is."""
+    rows = df.limit(SETTLED + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= SETTLED else df
+
+
 def query_tokens(queries: DataFrame, *, field_query: bool = False) -> DataFrame:
     """qid, tpos, token, n_tokens of every query that isn't empty when cleaned. Tokens that
     repeat stay."""
@@ -19,17 +39,25 @@ def query_tokens(queries: DataFrame, *, field_query: bool = False) -> DataFrame:
     return t.select("qid", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("tpos", "token"))
 
 
-def containing(tokens: DataFrame, vocabulary: DataFrame, token: str, word: str) -> DataFrame:
+def containing(tokens: DataFrame, vocabulary: DataFrame, token: str, word: str, few: bool = False) -> DataFrame:
     """Pairs of distinct tokens and vocabulary words that contain them. A vocabulary, not the
-    texts, is scanned, which grows far slower than these."""
-    return tokens.select(token).distinct().join(vocabulary, F.contains(F.col(word), F.col(token)))
-
-
-def simple_matches(tokens: DataFrame, postings: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    texts, is scanned, which grows far slower than these; its words meet the tokens by the
+    letters a token begins with, GRAM at most. A ``few`` local tokens are looked for in one
+    pass instead."""
+    if few:
+        return tokens.select(token).distinct().join(vocabulary, F.contains(F.col(word), F.col(token)))
+    asked = tokens.select(token).distinct().withColumn("_gram", F.left(token, F.lit(GRAM)))
+    n = F.length(word)
+    own = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.substring(word, i, F.lit(k)))
+    grams = vocabulary.withColumn("_gram", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[own(k) for k in range(1, GRAM + 1)]))))
+    return asked.join(grams, "_gram").where(F.contains(F.col(word), F.col(token))).drop("_gram")
+
+
+def simple_matches(tokens: DataFrame, postings: DataFrame, vocabulary: DataFrame | None = None, settle: Settle = lazily) -> DataFrame:
     """qid, gid, _pos: the rows whose normalized field contains every token. A token has no
     white space, so that a hit lies within one word of the field."""
     vocabulary = vocabulary if vocabulary is not None else postings.select("norm_word").distinct()
-    hits = containing(tokens, vocabulary, "token", "norm_word").join(postings, "norm_word").select("token", "gid", "_pos").distinct()
+    hits = settle(containing(tokens, vocabulary, "token", "norm_word", settle is not lazily)).join(postings, "norm_word").select("token", "gid", "_pos").distinct()
     # a query's repeated tokens ask for no more than one of them
     own = tokens.groupBy("qid").agg(F.collect_set("token").alias("set")).select("qid", F.size("set").alias("need"), F.explode("set").alias("token"))
     return own.join(hits, "token").groupBy("qid", "gid", "_pos").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").select("qid", "gid", "_pos")
@@ -42,17 +70,17 @@ def simple_search(corpus: Corpus, queries: DataFrame, field: str = "standard") -
     return found.select("qid", "_pos").join(corpus.verses, "_pos")
 
 
-def linguistic_hits(tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True) -> DataFrame:
+def linguistic_hits(tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, settle: Settle = lazily) -> DataFrame:
     """token, gid, rank (0: by lemma, 1: by root alone) for distinct tokens that the
     dictionary has."""
-    entries = tokens.select("token").distinct().join(corpus.entries, "token")
+    entries = settle(tokens.select("token").distinct().join(corpus.entries, "token"))
     parts = []
     for on, kind, postings, rank in ((lemma, "lemma", corpus.lemma_postings, 0), (root, "root", corpus.root_postings, 1)):
         if not on:
             continue
         mine, theirs = f"target_{kind}", f"norm_{kind}"
         asked = entries.where(f"norm_{kind} is not null").select("token", F.col(theirs).alias(mine))
-        near = containing(asked, postings.select(theirs).distinct(), mine, theirs)
+        near = settle(containing(asked, postings.select(theirs).distinct(), mine, theirs, settle is not lazily))
         parts.append(asked.join(near, mine).join(postings, theirs).select("token", "gid", F.lit(rank).alias("rank")))
     if not parts:
         return entries.select("token", F.lit(None).cast("long").alias("gid"), F.lit(0).alias("rank")).where("false")
@@ -61,11 +89,11 @@ def linguistic_hits(tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, ro
     return both.groupBy("token", "gid").agg(F.min("rank").alias("rank")).join(corpus.places.select("gid"), "gid", "left_semi")
 
 
-def fuzzy_hits(tokens: DataFrame, corpus: Corpus, options: FuzzyOptions) -> DataFrame:
+def fuzzy_hits(tokens: DataFrame, corpus: Corpus, options: FuzzyOptions, settle: Settle = lazily) -> DataFrame:
     """token, gid, score, score_pos and matches: for distinct tokens, the verses with a near
     word. The matches are the words of the best score, field by field, of the last row of a
     gid."""
-    near = fuzzy_words(tokens.select("token").distinct(), corpus.raw_words.select("word").distinct(), options)
+    near = settle(fuzzy_words(tokens.select("token").distinct(), corpus.raw_vocabulary, options))
     rows = near.join(corpus.raw_words, "word").select("token", "gid", "_pos", "field", "key", "start", "end", "score")
     best = rows.groupBy("token", "gid", "_pos").agg(
         F.min("score").alias("score"), F.array_sort(F.collect_list(F.struct("score", "field", "start", "end", "key"))).alias("all")
@@ -81,15 +109,15 @@ def fuzzy_hits(tokens: DataFrame, corpus: Corpus, options: FuzzyOptions) -> Data
     return kept.groupBy("token", "gid").agg(F.min(order).alias("first"), F.max_by("matches", order).alias("matches")).select("token", "gid", F.col("first.score").alias("score"), F.col("first._pos").alias("score_pos"), "matches")
 
 
-def token_hits(tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, fuzzy: FuzzyOptions | None = None) -> DataFrame:
+def token_hits(tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, fuzzy: FuzzyOptions | None = None, settle: Settle = lazily) -> DataFrame:
     """token, gid, rank, score, score_pos, matches: each distinct token's linguistic verses,
     or its fuzzy ones if it has none of these."""
-    ling = linguistic_hits(tokens, corpus, lemma=lemma, root=root)
+    ling = settle(linguistic_hits(tokens, corpus, lemma=lemma, root=root, settle=settle))
     none = "cast(null as array<struct<key:string,indices:array<struct<start:int,end:int>>>>)"
     out = ling.select("token", "gid", "rank", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("score_pos"), F.expr(none).alias("matches"))
     if fuzzy is not None:
-        rest = tokens.select("token").distinct().join(ling.select("token").distinct(), "token", "left_anti")
-        hits = fuzzy_hits(rest, corpus, fuzzy)
+        rest = settle(tokens.select("token").distinct().join(ling.select("token").distinct(), "token", "left_anti"))
+        hits = fuzzy_hits(rest, corpus, fuzzy, settle)
         out = out.unionByName(hits.select("token", "gid", F.lit(2).alias("rank"), F.col("score").cast("double").alias("score"), "score_pos", "matches"))
     return out
 

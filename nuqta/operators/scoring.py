@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import normalize_arabic
 from ..schemas import EXACT, FUZZY, LEMMA, NONE, ROOT
 from .corpus import Corpus
+from .layers import Settle, lazily
 
 NO_STRINGS = "cast(array() as array<string>)"
 
@@ -45,11 +46,13 @@ def positive_tokens(verses: DataFrame, mode: str, *, token: str = "token", targe
     return F.coalesce(F.when(normalize_arabic(token) != "", found), F.expr(NO_STRINGS))
 
 
-def token_matches(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True) -> DataFrame:
+def token_matches(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, settle: Settle = lazily) -> DataFrame:
     """The rows of ``results`` (qid, gid, _pos, ...) once for each token of the query, with
     tpos, text, lemma and root: what the token matches in the verse."""
-    asked = tokens.join(corpus.entries.select("token", "norm_lemma", "norm_root"), "token", "left")
-    rows = results.join(asked, "qid").join(corpus.verse_arrays, ["gid", "_pos"], "left")
+    asked = settle(tokens.join(corpus.entries.select("token", "norm_lemma", "norm_root"), "token", "left"))
+    # only the verses found are shuffled, if any; a row without a gid has no words
+    found = corpus.verse_arrays.where("gid is not null").join(results.select("_pos").distinct(), "_pos", "left_semi").drop("gid")
+    rows = results.join(asked, "qid").join(found, "_pos", "left")
     none = F.expr(NO_STRINGS)
     text = F.coalesce(text_tokens(F.col("words"), F.col("token")), none)
     lemmas = F.coalesce(F.when(F.col("norm_lemma").isNotNull(), morphology_tokens(F.col("lemmas"), F.col("norm_lemma"))), none) if lemma else none
@@ -93,12 +96,12 @@ def string_type(s: Column) -> Column:
     return F.when(F.array_contains(F.col("exact"), s), EXACT).otherwise(F.element_at(F.filter("others", lambda o: o["s"] == s), 1)["t"])
 
 
-def score_results(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True) -> DataFrame:
+def score_results(results: DataFrame, tokens: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, settle: Settle = lazily) -> DataFrame:
     """``results`` (qid, gid, _pos, fuzzyMatches, ...) with matchScore, matchType,
     matchedTokens and tokenTypes. Fuzzy matches count only where nothing else does: half a
     point a range, whose text becomes a matched token."""
     carry = [c for c in results.columns if c not in ("qid", "gid")]
-    rows = fold_matches(token_matches(results, tokens, corpus, lemma=lemma, root=root), carry).join(corpus.verses.select("_pos", F.col("standard").alias("_standard"), F.col("uthmani").alias("_uthmani")), "_pos")
+    rows = fold_matches(token_matches(results, tokens, corpus, lemma=lemma, root=root, settle=settle), carry).join(corpus.verses.select("_pos", F.col("standard").alias("_standard"), F.col("uthmani").alias("_uthmani")), "_pos")
     is_fuzzy = (F.col("type") == NONE) & (F.coalesce(F.size("fuzzyMatches"), F.lit(0)) > 0)
     source = lambda m: F.when(m["key"] == "standard", F.col("_standard")).otherwise(F.col("_uthmani"))
     cut = F.flatten(F.transform("fuzzyMatches", lambda m: F.transform(m["indices"], lambda r: F.substring(source(m), r["start"] + 1, r["end"] - r["start"] + 1))))

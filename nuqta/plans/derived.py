@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_arabic
-from ..operators.corpus import Corpus
+from ..operators.corpus import Corpus, spread
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC = "ابتدإفغهىجكلمنؤقظرسةوثشخئز"
@@ -28,9 +28,9 @@ def root_of(word: Column) -> Column:
 
 def verses_of(documents: DataFrame) -> DataFrame:
     """gid, standard, uthmani and _pos: a row for each piece between full stops and line
-    breaks. gid leaves room for 100,000 pieces a document."""
-    v = documents.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("pos", "v"))
-    v = v.select((F.col("doc_id") * 100000 + F.col("pos")).alias("gid"), F.translate(F.lower("v"), LATIN, ARABIC).alias("standard"))
+    breaks. gid has 32 bits for the piece."""
+    v = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "[.\\n]+")).alias("pos", "v"))
+    v = v.select((F.col("doc_id").cast("long") * (1 << 32) + F.col("pos")).alias("gid"), F.translate(F.lower("v"), LATIN, ARABIC).alias("standard"))
     return v.select("gid", "standard", F.regexp_replace("standard", "([بتد])", f"$1{FATHA}").alias("uthmani"), F.col("gid").alias("_pos"))
 
 

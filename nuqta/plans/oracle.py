@@ -44,7 +44,7 @@ BASE = f"""
 pieces as (select doc_id, regexp_split_to_array(text, '[.\\n]+') as a from documents where doc_id is not null and text is not null),
 rows_ as (select doc_id, unnest(a) as v, generate_subscripts(a, 1) - 1 as pos from pieces),
 verses as materialized (select gid, standard, regexp_replace(standard, '([بتد])', '\\1{FATHA}', 'g') as uthmani from (
-  select doc_id * 100000 + pos as gid, translate(lower(v), '{LATIN}', '{ARABIC}') as standard from rows_)),
+  select cast(doc_id as bigint) * 4294967296 + pos as gid, translate(lower(v), '{LATIN}', '{ARABIC}') as standard from rows_)),
 normal as materialized (select gid, standard, uthmani, {norm('standard')} as norm from verses),
 words as materialized (select gid, w, n from (select gid, unnest(a) as w, generate_subscripts(a, 1) as n from (select gid, string_split(norm, ' ') as a from normal)) where w <> ''),
 vocab as materialized (select distinct w from words),

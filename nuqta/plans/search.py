@@ -11,24 +11,32 @@ from pyspark.sql import functions as F
 
 from ..operators.corpus import Corpus
 from ..operators.fuzzy import FuzzyOptions
-from ..operators.layers import intersect_tokens, query_tokens, simple_matches, token_hits, union_layers
+from ..operators.layers import Settle, intersect_tokens, lazily, query_tokens, settled, simple_matches, token_hits, union_layers
 from ..operators.scoring import score_results
 from ..schemas import QUERIES
 
 FUZZY = FuzzyOptions()
-
-
-def scored(queries: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, fuzzy: bool | None = True, options: FuzzyOptions = FUZZY) -> DataFrame:
+#: What a result has besides its verse's columns, with the types. fuzzyMatches are the ranges
+#: (both ends inclusive) of the fields in which a fuzzy match lies, null for other matches.
+METADATA = {
+    "matchScore": "double",
+    "matchType": "string",
+    "matchedTokens": "array<string>",
+    "tokenTypes": "map<string,string>",
+    "fuzzyMatches": "array<struct<key:string,indices:array<struct<start:int,end:int>>>>",
+}
+
+
+def scored(queries: DataFrame, corpus: Corpus, *, lemma: bool = True, root: bool = True, fuzzy: bool | None = True, options: FuzzyOptions = FUZZY, settle: Settle = lazily) -> DataFrame:
     """qid, gid, _pos, layer, tie, fuzzyMatches, matchScore, matchType, matchedTokens and
     tokenTypes of every match of every query (qid, query). Fuzzy is on unless False. Queries
-    that are empty when cleaned match nothing; layers that are off are not planned."""
-    tokens = query_tokens(queries)
-    simple = simple_matches(tokens, corpus.postings, corpus.vocabulary)
-    hits = token_hits(tokens, corpus, lemma=lemma, root=root, fuzzy=None if fuzzy is False else options)
-    found = union_layers(simple, intersect_tokens(tokens, hits), corpus)
-    return score_results(found, tokens, corpus, lemma=lemma, root=root)
-
-
+    that are empty when cleaned match nothing; layers that are off are not planned. With
+    ``settle`` (``layers.settled``) small steps are run at once."""
+    tokens = settle(query_tokens(queries))
+    simple = simple_matches(tokens, corpus.postings, corpus.vocabulary, settle)
+    hits = token_hits(tokens, corpus, lemma=lemma, root=root, fuzzy=None if fuzzy is False else options, settle=settle)
+    found = settle(union_layers(simple, intersect_tokens(tokens, hits), corpus))
+    return score_results(found, tokens, corpus, lemma=lemma, root=root, settle=settle)
 
 
 def order() -> list:
@@ -45,13 +53,12 @@ def clamp(value: float | None, default: int) -> int:
 
 
 def search_batch(queries: DataFrame, corpus: Corpus, *, page: int | None = 1, limit: int | None = 20, **layers: object) -> DataFrame:
-    """One page of every query: qid, rank and the verses' columns with matchScore, matchType,
-    matchedTokens and tokenTypes. Ranks are cut before the verses are fetched."""
+    """One page of every query: qid, rank and the verses' columns with METADATA. Ranks are cut before the verses are fetched."""
     first = (clamp(page, 1) - 1) * clamp(limit, 20)
     w = Window.partitionBy("qid").orderBy(*order())
     ranked = scored(queries, corpus, **layers).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= first + clamp(limit, 20)) & (F.col("rank") > first))
-    kept = ranked.select("qid", "rank", "_pos", "matchScore", "matchType", "matchedTokens", "tokenTypes")
-    verses = corpus.verses.drop(*[c for c in ("qid", "rank", "matchScore", "matchType", "matchedTokens", "tokenTypes") if c in corpus.verses.columns])
+    kept = ranked.select("qid", "rank", "_pos", *METADATA)
+    verses = corpus.verses.drop(*[c for c in ("qid", "rank", *METADATA) if c in corpus.verses.columns])
     return kept.join(verses, "_pos").drop("_pos")
 
 
@@ -104,15 +111,14 @@ def search(query: str, corpus: Corpus, *, page: int | None = 1, limit: int | Non
     nothing and keeps page and limit as given."""
     spark = corpus.verses.sparkSession
     queries = spark.createDataFrame([(0, query or "")], QUERIES)
-    extra = "matchScore double, matchType string, matchedTokens array<string>, tokenTypes map<string,string>"
     if not _is_asked(query):
         columns = [c for c in corpus.verses.columns if c != "_pos"]
-        none = corpus.verses.select(*columns).where("false").selectExpr("cast(null as int) as rank", *[f"`{c}`" for c in columns], *[f"cast(null as {t}) as {n}" for n, t in (x.split(" ", 1) for x in extra.split(", "))])
+        none = corpus.verses.select(*columns).where("false").selectExpr("cast(null as int) as rank", *[f"`{c}`" for c in columns], *[f"cast(null as {t}) as {n}" for n, t in METADATA.items()])
         return SearchResponse(none, None, page or 1, limit or 20)
-    matches = scored(queries, corpus, **layers).persist()
+    matches = scored(queries, corpus, settle=settled, **layers).persist()
     p, n = clamp(page, 1), clamp(limit, 20)
     top = matches.orderBy(*order()).offset((p - 1) * n).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order())) + (p - 1) * n)
-    taken = ("rank", "matchScore", "matchType", "matchedTokens", "tokenTypes")
+    taken = ("rank", *METADATA)
     verses = corpus.verses.drop(*[c for c in taken if c in corpus.verses.columns])
     results = top.select("_pos", *taken).join(verses, "_pos").orderBy("rank")
     return SearchResponse(results.select("rank", *[c for c in verses.columns if c != "_pos"], *taken[1:]), matches, p, n)
