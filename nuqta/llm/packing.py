@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 from .textvec import U64, Words, buffers, chunks
 
 HASHED = 256
@@ -94,9 +94,11 @@ def pack(docs: DataFrame, *, capacity: int = 2048) -> DataFrame:
     is left continues in the next. Rows with a null doc_id or text and texts without a word
     are left out; repeated rows are packed as often as they occur; ties on the curve are
     ordered by doc_id; an empty table gives no row. Only doc_id and text are read."""
-    keyed = curve(docs)
+    # written first: the range partitioning reads its input twice, and texts are read once
+    keyed = written(curve(docs), "keyed")
     ranged = keyed.repartitionByRange("curve_key", "doc_id", "n_words").withColumn("part", F.spark_partition_id())
     ranged = written(ranged, "curve")
+    drop_written(keyed)
     # words before each partition: one row a partition
     sums = ranged.groupBy("part").agg(F.sum("n_words").alias("words"))
     ahead = sums.select("part", (F.sum("words").over(Window.orderBy("part")) - F.col("words")).alias("ahead"))
