@@ -14,7 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, small_batches
+from .common import free_name, small_batches, written
 
 #: A sentence with the marks that end it; the pieces of a text, joined, are the text.
 PIECE = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
@@ -75,6 +75,8 @@ def repeated_runs(docs: DataFrame, runs: tuple[tuple[int, int], ...] = RUNS, oft
     placed = every.join(F.broadcast(shared), key, "left").withColumn("salt", salt)
     place = F.struct("doc_id", "h", "pos")
     groups = placed.groupBy(*key, "salt").agg(F.min(place).alias("first"), F.collect_list(place).alias("all"), F.max("salt").alias("split"))
+    # written, as two things are read from them; runs that occur once are not
+    groups = written(groups.where((F.size("all") > 1) | (F.col("split") > 0)), "groups")
     later = groups.where(F.size("all") > 1).select("run", "first", F.explode("all").alias("x")).where(F.col("x") != F.col("first")).select("run", "x")
     # the firsts of a split run's groups, but for the first of all
     firsts = groups.where("split > 0").select(*key, "first")
@@ -88,18 +90,22 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"), F.col("text").cast("string").alias("text"))
 
 
-def _without(text: Column, spans: Column) -> tuple[Column, Column]:
-    """The text without the sentences that ``spans`` (array of pos and run) cover, and their
-    number."""
-    every = pieces(text)
-    real = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: clean(F.get(every, i)) != "")
-    gone = F.array_distinct(F.flatten(F.transform(spans, lambda x: F.slice(real, x["pos"] + 1, x["run"]))))
-    return F.array_join(F.filter(every, lambda _, i: ~F.array_contains(gone, i)), ""), F.size(gone)
+def _cleaned(given: DataFrame, runs: tuple[tuple[int, int], ...], **split: float) -> DataFrame:
+    """doc_id, h, removed and what is left of the text, of the rows of ``given`` that lose
+    sentences. Pieces are taken below the join, so that no lambda takes them again for each
+    of its items."""
+    covered = F.array_distinct(F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("run") - 1)))).alias("covered")
+    lists = repeated_runs(given, runs, **split).groupBy("doc_id", "h").agg(covered)
+    real = F.transform(F.filter(F.transform("every", lambda x, i: F.struct(i.alias("i"), (clean(x) != "").alias("real"))), lambda x: x["real"]), lambda x: x["i"])
+    cut = given.select("doc_id", "h", pieces(F.col("text")).alias("every")).select("doc_id", "h", "every", real.alias("real")).join(lists, ["doc_id", "h"])
+    kept = F.array_except(F.sequence(F.lit(0), F.size("every") - 1), F.transform("covered", lambda k: F.get("real", k)))
+    return cut.select("doc_id", "h", F.size("covered").alias("removed"), F.array_join(F.transform(kept, lambda i: F.get("every", i)), "").alias("text"))
 
 
 def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS, **split: float) -> DataFrame:
     """doc_id, removed, text: every document that loses sentences, how many, and what is left
-    of its text. A sentence goes if a run of sentences that occurs before covers it.
+    of its text. A sentence goes if a run of sentences that occurs before covers it; marks and
+    white space that belong to no sentence stay.
 
     ``runs`` gives the lengths of runs and the characters that a run must have, single spaces
     between sentences counted. The first of equal runs is the least by (doc_id, place), and
@@ -108,21 +114,17 @@ def repeated_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = R
     same; texts that share a doc_id are documents of their own, in the order of their hashes;
     runs may repeat within a document; an empty table gives no row. Only doc_id and text are
     read."""
-    given = _hashed(docs)
-    lists = repeated_runs(given, runs, **split).groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "run")).alias("spans"))
-    text, removed = _without(F.col("text"), F.col("spans"))
-    return given.join(lists, ["doc_id", "h"]).select("doc_id", removed.alias("removed"), text.alias("text"))
+    return _cleaned(_hashed(docs), runs, **split).select("doc_id", "removed", "text")
 
 
 def remove_sentences(docs: DataFrame, *, runs: tuple[tuple[int, int], ...] = RUNS, **split: float) -> DataFrame:
     """``docs`` without the sentences that ``repeated_sentences`` removes: all rows and
     columns, whatever their names, n_chars being that of the new text. Edges are as there."""
     names = docs.columns
-    lists = repeated_runs(_hashed(docs), runs, **split).groupBy("doc_id", "h").agg(F.collect_set(F.struct("pos", "run")).alias("spans"))
-    mine, id_, h, found = docs, *(free_name(docs, x) for x in ("of_id", "of_hash", "of_spans"))
-    lists = lists.select(F.col("doc_id").alias(id_), F.col("h").alias(h), F.col("spans").alias(found))
+    mine, id_, h, found = docs, *(free_name(docs, x) for x in ("of_id", "of_hash", "of_text"))
+    lists = _cleaned(_hashed(docs), runs, **split).groupBy(F.col("doc_id").alias(id_), F.col("h").alias(h)).agg(F.first("text").alias(found))
     both = mine.join(lists, (mine["doc_id"].cast("long") == F.col(id_)) & (F.xxhash64(mine["text"].cast("string")) == F.col(h)), "left")
-    text = F.when(F.col(found).isNotNull(), _without(F.col("text").cast("string"), F.col(found))[0]).otherwise(F.col("text"))
+    text = F.coalesce(F.col(found), mine["text"])
     cut = both.select(*[text.alias(c) if c == "text" else mine[c] for c in names], found)
     if "n_chars" in names:  # of the text as it is now
         cut = cut.withColumn("n_chars", F.when(F.col(found).isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
