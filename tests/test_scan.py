@@ -77,7 +77,7 @@ def test_words_and_hits(spark, both, asked):
 
 def test_too_much_to_hold_takes_the_layers(spark, both, asked, monkeypatch):
     own, plain = both
-    monkeypatch.setattr(scan, "HELD", 3)
+    monkeypatch.setattr(scan, "SETTLED", 3)
     assert scan.scan_queries(asked, own) is None and scan.scan_hits(scan.query_tokens(asked), own) is None
     assert plain_rows(scored(asked, own, fuzzy=False)) == plain_rows(scored(asked, plain, fuzzy=False))
 
