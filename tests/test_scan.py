@@ -88,3 +88,16 @@ def test_a_query_stores_no_corpus(spark):
     for name in ("normalize_arabic", "contains_all_tokens", "tokenize_verses", "simple_search", "score_exact", "search_counts", "token_types"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "nuqta-corpus" not in plan and len(plan) < 40_000, name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_all_layers_score_fuzzy_matches(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.execute(f"select qid, gid, \"matchScore\" from ({entry.oracle_sql()['score_all_layers']})").fetchall()
+    got = entry.queries()["score_all_layers"](spark, SF)
+    exact = {(r.qid, r.gid) for r in entry.queries()["match_type_fold"](spark, SF).collect()}
+    assert sorted(tuple(r) for r in got.select("qid", "gid", "matchScore").collect()) == sorted(want)
+    assert {(q, g) for q, g, _ in want} - exact
